@@ -145,7 +145,7 @@ def alignment_counts(spark, sf):
     )
 
 
-WRONG_ID = "sample_id != concat(ts_code, '_', cast(asof_date as string))"
+WRONG_ID = "sample_id != ts_code || '_' || cast(asof_date as string)"
 CONTRACT = f"""
 select count(*) as num_rows, count_if(ts_code is null)::bigint as num_null_ts_code,
        count_if(asof_date is null)::bigint as num_null_asof_date, count_if(label is null)::bigint as num_null_label,

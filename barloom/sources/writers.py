@@ -21,7 +21,8 @@ def write_bars(bars: DataFrame, path: str, files: int | None = None) -> None:
 
 def write_dataset(samples: DataFrame, path: str) -> None:
     """The dataset by split. Check the skip limit before calling this."""
-    samples.write.mode("overwrite").partitionBy("split").parquet(path)
+    # rebalance gives few files per split and still cuts a large split into several
+    samples.hint("rebalance", "split").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def write_sequences(sequences: DataFrame, path: str) -> None:
@@ -29,11 +30,12 @@ def write_sequences(sequences: DataFrame, path: str) -> None:
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Predictions as CSV; scans go into a folder named by their as-of date."""
-    writer = predictions.write.mode("overwrite").option("header", True)
+    """Predictions as CSV; scans go into folders named by their as-of date."""
     if ASOF in predictions.columns:
-        writer = writer.partitionBy(ASOF)
-    writer.csv(path)
+        spread = predictions.hint("rebalance", ASOF)
+        spread.write.mode("overwrite").option("header", True).partitionBy(ASOF).csv(path)
+    else:
+        predictions.write.mode("overwrite").option("header", True).csv(path)
 
 
 def dated_path(path: str, asof: str | None) -> str:
