@@ -20,13 +20,21 @@ BAD_VALUE = "label is not null and label not in (0, 1)"
         f"""select count(*) as num_labels, count_if(asof_date is null)::bigint as invalid_asof_date,
         (select sum(n - 1) from (select count(*) as n from bad_labels group by sample_id) g)::bigint as duplicate_sample_id,
         count_if(label is null)::bigint as null_label, count_if({BAD_VALUE})::bigint as invalid_label,
-        '2' as invalid_values, false as ok from bad_labels"""
+        false as ok from bad_labels"""
     ),
 )
 def validate_labels(spark, sf):
     return q.validate_labels(derived(spark, sf, "bad_labels"))
 
 
+@query(
+    "invalid_label_values",
+    sql(f"select cast(label as string) as value, count(*) as n from bad_labels where {BAD_VALUE} group by label"),
+)
+def invalid_label_values(spark, sf):
+    return q.invalid_label_values(derived(spark, sf, "bad_labels"))
+
+
 @query(
     "bar_schema",
     sql("select count(*) as n_bars, count_if(trade_date is null)::bigint as invalid_trade_date from bad_bars"),

@@ -27,3 +27,8 @@ def up_to_now() -> WindowSpec:
 
 def last_rows(n: int) -> WindowSpec:
     return by_date().rowsBetween(1 - n, 0)
+
+
+def whole_symbol() -> WindowSpec:
+    """All rows of the symbol, in the sort order that the other frames use."""
+    return by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -28,12 +28,14 @@ def asof_rows(dates: DataFrame, rows: DataFrame) -> DataFrame:
     )
     known = rows.select(SYMBOL, F.col(DATE).alias("_at"), F.lit(0).alias("_asked"), F.struct(*values).alias("_row"))
     timeline = known.unionByName(asked, allowMissingColumns=True)
-    upto = Window.partitionBy(SYMBOL).orderBy("_at", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(SYMBOL).orderBy("_at", "_asked")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         timeline.withColumns(
             {
                 "_row": F.last("_row", ignorenulls=True).over(upto),
-                "symbol_rows": F.sum(1 - F.col("_asked")).over(Window.partitionBy(SYMBOL)),
+                "symbol_rows": F.sum(1 - F.col("_asked")).over(whole),
             }
         )
         .where("_asked = 1")

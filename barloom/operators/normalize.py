@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import to_date, to_number
-from barloom.functions.frames import by_date, by_symbol
+from barloom.functions.frames import by_date, whole_symbol
 from barloom.schema import DATE, NORMALIZED_NUMBERS, ORDER, SYMBOL
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def one_bar_per_date(bars: DataFrame, policy: str = "raise") -> DataFrame:
         merged = bars.groupBy(SYMBOL, DATE).agg(
             *[F.first(c).alias(c) for c in values], F.count("*").alias("_copies")
         )
-        worst = merged.withColumn("_worst", F.max("_copies").over(by_symbol()))
+        worst = merged.withColumn("_worst", F.max("_copies").over(whole_symbol()))
         return worst.where("_worst = 1").drop("_copies", "_worst")
     if policy not in ("first", "last"):
         raise ValueError(f"unknown duplicate policy: {policy}")

@@ -17,6 +17,7 @@ from barloom.functions.columns import (
     to_date,
     to_number,
 )
+from barloom.functions.frames import whole_symbol
 from barloom.schema import ASOF, DATE, ORDER, PRICES, REQUIRED_BAR_COLUMNS, REQUIRED_LABEL_COLUMNS, SAMPLE, SYMBOL
 
 ORDER_CHUNK = 65_536  # rows of one file whose order is checked in one task
@@ -117,9 +118,8 @@ def keep_sound_symbols(bars: DataFrame) -> DataFrame:
     For normalised bars, whose dates are valid, unique and unordered.
     """
     faulty = reduce(or_, [holds(rule) for rule in _bar_rules(bars.columns).values()])
-    whole = Window.partitionBy(SYMBOL)
     return (
-        bars.withColumn("_faults", F.sum(faulty.cast("int")).over(whole)).where("_faults = 0").drop("_faults")
+        bars.withColumn("_faults", F.sum(faulty.cast("int")).over(whole_symbol())).where("_faults = 0").drop("_faults")
     )
 
 
@@ -139,6 +139,10 @@ def _is_allowed(labels: DataFrame, allowed: tuple[int, ...]) -> Column:
     return holds(_label_number(labels).isin(*[float(a) for a in allowed]))
 
 
+def _is_bad_value(labels: DataFrame, allowed: tuple[int, ...]) -> Column:
+    return ~_is_allowed(labels, allowed) & _given_label(labels).isNotNull()
+
+
 def _excess_copies(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Rows beyond the first of each key, where NULL is a key too."""
     groups = df.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -148,33 +152,30 @@ def _excess_copies(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 def validate_labels(
     labels: DataFrame, require_sample_id: bool = True, allowed: tuple[int, ...] = (0, 1)
 ) -> DataFrame:
-    """One row: counts of each label fault, the sorted bad values, and `ok`."""
+    """One row: counts of each label fault, and `ok`. See `invalid_label_values` for the values."""
     required = [SAMPLE, *REQUIRED_LABEL_COLUMNS] if require_sample_id else REQUIRED_LABEL_COLUMNS
     require_columns(labels, required, "labels")
-    known = _is_allowed(labels, allowed)
-    bad_value = ~known & _given_label(labels).isNotNull()
     dated = labels.withColumn(ASOF, to_date(ASOF, labels.schema[ASOF].dataType))
     counts = dated.agg(
         F.count("*").alias("num_labels"),
         count_if(F.col(ASOF).isNull()).alias("invalid_asof_date"),
         count_if(_given_label(labels).isNull()).alias("null_label"),
-        count_if(bad_value).alias("invalid_label"),
-    )
-    # distinct values first: the list grows with the kinds of bad values, not with the rows
-    values = (
-        labels.where(bad_value)
-        .select(_given_label(labels).cast("string").alias("_v"))
-        .distinct()
-        .agg(F.concat_ws(",", F.array_sort(F.collect_list("_v"))).alias("invalid_values"))
+        count_if(_is_bad_value(labels, allowed)).alias("invalid_label"),
     )
     if require_sample_id:
-        out = merge_rows(counts, values, _excess_copies(labels, [SAMPLE], "duplicate_sample_id"))
+        out = merge_rows(counts, _excess_copies(labels, [SAMPLE], "duplicate_sample_id"))
     else:
-        out = merge_rows(counts, values).withColumn("duplicate_sample_id", F.lit(0).cast("bigint"))
+        out = counts.withColumn("duplicate_sample_id", F.lit(0).cast("bigint"))
     faults = ["invalid_asof_date", "duplicate_sample_id", "null_label", "invalid_label"]
     return out.withColumn("ok", reduce(lambda a, b: a & b, [F.col(c) == 0 for c in faults]))
 
 
+def invalid_label_values(labels: DataFrame, allowed: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """The distinct label values that are not allowed, with their number of rows, in order."""
+    bad = labels.where(_is_bad_value(labels, allowed))
+    return bad.groupBy(_given_label(labels).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy("value")
+
+
 def validate_bar_schema(bars: DataFrame) -> DataFrame:
     """One row: rows without a valid date, after the required columns are known to exist."""
     require_columns(bars, REQUIRED_BAR_COLUMNS, "bars")
@@ -192,8 +193,9 @@ def label_coverage(labels: DataFrame, bars: DataFrame) -> DataFrame:
     known = bars.select(SYMBOL, F.col(DATE).alias("_at"), F.lit(0).alias("_is_label"))
     asked = keys.select(SYMBOL, F.col(ASOF).alias("_at"), F.lit(1).alias("_is_label"))
     timeline = known.repartition(SYMBOL).unionByName(asked.repartition(SYMBOL))
-    upto = Window.partitionBy(SYMBOL).orderBy("_at", "_is_label").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(SYMBOL)
+    line = Window.partitionBy(SYMBOL).orderBy("_at", "_is_label")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bar_date = F.when(F.col("_is_label") == 0, F.col("_at"))
     return (
         timeline.withColumns(
@@ -231,13 +233,12 @@ def alignment_counts(aligned: DataFrame) -> DataFrame:
 def label_contract(labels: DataFrame) -> DataFrame:
     """One row of label statistics: NULLs, bad values, copies and ids that do not fit."""
     dated = fill_contract_id(labels)
-    bad_value = ~_is_allowed(labels, (0, 1)) & _given_label(labels).isNotNull()
     counts = dated.agg(
         F.count("*").alias("num_rows"),
         count_if(F.col(SYMBOL).isNull()).alias("num_null_ts_code"),
         count_if(F.col(ASOF).isNull()).alias("num_null_asof_date"),
         count_if(_given_label(labels).isNull()).alias("num_null_label"),
-        count_if(bad_value).alias("num_invalid_label"),
+        count_if(_is_bad_value(labels, (0, 1))).alias("num_invalid_label"),
         count_if(_misnamed()).alias("num_inconsistent_sample_id"),
     )
     return merge_rows(

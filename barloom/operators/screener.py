@@ -6,11 +6,11 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import holds
-from barloom.functions.frames import by_symbol, last_rows, newest_first
+from barloom.functions.frames import last_rows, newest_first, whole_symbol
 from barloom.functions.rolling import Rolling
 from barloom.operators.indicators import GUARD
 from barloom.schema import DATE, SYMBOL
@@ -88,7 +88,7 @@ def _newest(bars: DataFrame, rows: int) -> DataFrame:
 
     Everything after this works on a bounded tail, whatever the length of the history.
     """
-    aged = bars.withColumns({"_age": F.row_number().over(newest_first()) - 1, "_bars": F.count("*").over(by_symbol())})
+    aged = bars.withColumns({"_age": F.row_number().over(newest_first()) - 1, "_bars": F.count("*").over(newest_first().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     return aged.where(F.col("_age") < rows)
 
 
@@ -191,12 +191,12 @@ def pullback_legs(bars: DataFrame, rules: ScreenRules = ScreenRules()) -> DataFr
     """
     tail = _screen_tail(bars, rules)
     age = F.col("_age")
-    marked = tail.withColumn("_impulse", F.min(F.when(_is_impulse(tail, rules), age)).over(by_symbol())).where(
+    marked = tail.withColumn("_impulse", F.min(F.when(_is_impulse(tail, rules), age)).over(whole_symbol())).where(
         F.col("_impulse").isNotNull()
     )
     # bars from the impulse on, plus the two latest for the late-spike rule
-    leg = marked.withColumn("_high", F.max(F.when(age <= F.col("_impulse"), F.col("high"))).over(by_symbol())).withColumn(
-        "_high_age", F.max(F.when((age <= F.col("_impulse")) & (F.col("high") == F.col("_high")), age)).over(by_symbol())
+    leg = marked.withColumn("_high", F.max(F.when(age <= F.col("_impulse"), F.col("high"))).over(whole_symbol())).withColumn(
+        "_high_age", F.max(F.when((age <= F.col("_impulse")) & (F.col("high") == F.col("_high")), age)).over(whole_symbol())
     )
     at_impulse = age == F.col("_impulse")
     latest = age == 0
