@@ -14,10 +14,8 @@ from barloom.operators import ranking as k
 TOP = 50
 
 
-def side(spark, sf, model, name="y_score"):
-    return predictions(spark, sf).select(
-        "sample_id", "ts_code", "asof_date", "y_true", F.col(f"score_{model}").alias(name)
-    )
+def side(both, model, name="y_score"):
+    return both.select("sample_id", "ts_code", "asof_date", "y_true", F.col(f"score_{model}").alias(name))
 
 
 def paired(spark, sf):
@@ -29,7 +27,12 @@ def paired(spark, sf):
 
 
 def scan_side(spark, sf, model):
-    return side(spark, sf, model, "score").drop("y_true")
+    return side(predictions(spark, sf), model, "score").drop("y_true")
+
+
+def scan_sides(spark, sf):
+    both = predictions(spark, sf)
+    return [side(both, m, "score").drop("y_true") for m in ("a", "b")]
 
 
 @query("sort_by_score", sql("select sample_id, score_a as score from preds order by score_a desc, sample_id"))
@@ -66,8 +69,7 @@ def ranked_by_date(spark, sf):
     ),
 )
 def intersection(spark, sf):
-    both = k.intersect_models({"lgbm": scan_side(spark, sf, "a"), "xgb": scan_side(spark, sf, "b")}, 200)
-    return rounded(both)
+    return rounded(k.intersect_models(dict(zip(["lgbm", "xgb"], scan_sides(spark, sf))), 200))
 
 
 @query("top_scores", sql("select sample_id, score_a as score from preds order by score_a desc, sample_id limit 20"))
@@ -100,7 +102,7 @@ def aligned(spark, sf):
     ),
 )
 def aligned_by_pair(spark, sf):
-    a, b = (scan_side(spark, sf, m).drop("sample_id") for m in ("a", "b"))
+    a, b = (df.drop("sample_id") for df in scan_sides(spark, sf))
     return c.align_predictions(a, b).select("ts_code", "asof_date", "score_a", "score_b", c.KEY)
 
 
@@ -111,7 +113,8 @@ def aligned_by_pair(spark, sf):
     ),
 )
 def info(spark, sf):
-    a, b = side(spark, sf, "a"), side(spark, sf, "b").where("y_true = 1")
+    both = predictions(spark, sf)
+    a, b = side(both, "a"), side(both, "b").where("y_true = 1")
     return c.alignment_info(a, b, c.align_predictions(a, b))
 
 

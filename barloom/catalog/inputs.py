@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.dataset import build_samples
 from barloom.operators.screener import ScreenRules
+from barloom.session import materialize
 
 SYMBOL_SQL = "concat('S', lpad(cast(l_suppkey as string), 6, '0'))"
 ROW_KEY = "(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey"
@@ -149,8 +150,12 @@ def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two deterministic scores per labelled window, `score_a` and `score_b`."""
-    return labelled_windows(spark, sf_dir).select(
+    """Two deterministic scores per labelled window, `score_a` and `score_b`.
+
+    They are written as a table, as predictions are handed over, so that a query that reads
+    them several times derives them once.
+    """
+    scored = labelled_windows(spark, sf_dir).select(
         "sample_id",
         "ts_code",
         "asof_date",
@@ -159,6 +164,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(1 / (1 + F.exp(-20 * F.col("recent_return_10"))), 6).alias("score_a"),
         F.round(1 / (1 + F.exp(-10 * F.col("breakout_distance_20"))), 6).alias("score_b"),
     )
+    return materialize(scored, "predictions")
 
 
 def model_predictions(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:

@@ -26,18 +26,20 @@ def asof_rows(dates: DataFrame, rows: DataFrame) -> DataFrame:
         .repartition(SYMBOL)
         .withColumn("_asked", F.lit(1))
     )
-    known = rows.select(SYMBOL, F.col(DATE).alias("_at"), F.lit(0).alias("_asked"), F.struct(*values).alias("_row"))
+    known = rows.select(
+        SYMBOL, F.col(DATE).alias("_at"), F.lit(0).alias("_asked"), *[F.col(c).alias(f"_row_{c}") for c in values]
+    )
     timeline = known.unionByName(asked, allowMissingColumns=True)
     line = Window.partitionBy(SYMBOL).orderBy("_at", "_asked")
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # only a row that is directly followed by a question is in force for one
+    needed = timeline.withColumns(
+        {"_next": F.lead("_asked").over(line), "symbol_rows": F.sum(1 - F.col("_asked")).over(whole)}
+    ).where((F.col("_asked") == 1) | (F.col("_next") == 1))
+    row = F.when(F.col("_asked") == 0, F.struct(*[F.col(f"_row_{c}").alias(c) for c in values]))
     return (
-        timeline.withColumns(
-            {
-                "_row": F.last("_row", ignorenulls=True).over(upto),
-                "symbol_rows": F.sum(1 - F.col("_asked")).over(whole),
-            }
-        )
+        needed.withColumn("_row", F.last(row, ignorenulls=True).over(upto))
         .where("_asked = 1")
         .select(SYMBOL, F.col("_at").alias(ASOF), "symbol_rows", "_row.*")
     )

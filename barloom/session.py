@@ -30,10 +30,10 @@ def scratch_root(spark: SparkSession) -> str:
 
     Only where the session names none (tests on one machine) a temporary folder is set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
