@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.inputs import derived, labelled_windows, predictions
+from barloom.catalog.inputs import derived, labelled_windows, model_predictions, predictions
 from barloom.catalog.ingest import TIME_SPLIT_SQL
 from barloom.catalog.oracle import r, r_all, sql
 from barloom.catalog.registry import query
@@ -102,6 +102,20 @@ def score_means(spark, sf):
     return rounded(m.label_score_means(both_models(spark, sf), group=["model"]))
 
 
+for _kind, _truth, _guess, _order in (("false_positive", 0, ">=", "desc"), ("false_negative", 1, "<", "asc")):
+    query(
+        f"top_{_kind}s",
+        sql(
+            f"""select sample_id, y_true::double as y_true, score_a as y_score, {1 - _truth} as y_pred from preds
+            where y_true = {_truth} and score_a {_guess} 0.5 order by score_a {_order}, sample_id limit 15"""
+        ),
+    )(
+        lambda spark, sf, kind=_kind: m.error_rows(model_predictions(spark, sf, "a"), kind, 15).select(
+            "sample_id", "y_true", "y_score", "y_pred"
+        )
+    )
+
+
 DATASET = "select w.*, s.split from windows w join splits s on w.asof_date = s.asof_date where w.rn >= 120"
 # features with gaps: the windows that are too short have none, and one in seven lacks a value
 GAPPY = """

@@ -128,3 +128,20 @@ def label_score_means(predictions: DataFrame, score: str = "y_score", group: Seq
         )
         .withColumn("pos_neg_gap", F.col("positive_mean_score") - F.col("negative_mean_score"))
     )
+
+
+def error_rows(
+    predictions: DataFrame,
+    kind: str,
+    n: int,
+    threshold: float = 0.5,
+    score: str = "y_score",
+    use_given: bool = True,
+) -> DataFrame:
+    """The n most confident errors of one kind: `false_positive` or `false_negative`."""
+    rows = with_prediction(predictions, threshold, score, use_given)
+    if kind == "false_positive":
+        wrong = rows.where((F.col("y_true") == 0) & (F.col("y_pred") == 1))
+        return wrong.orderBy(F.desc_nulls_last(score), SAMPLE).limit(n)
+    wrong = rows.where((F.col("y_true") == 1) & (F.col("y_pred") == 0))
+    return wrong.orderBy(F.asc_nulls_last(score), SAMPLE).limit(n)

@@ -18,7 +18,7 @@ from barloom.functions.columns import (
     to_number,
 )
 from barloom.functions.frames import whole_symbol
-from barloom.schema import ASOF, DATE, ORDER, PRICES, REQUIRED_BAR_COLUMNS, REQUIRED_LABEL_COLUMNS, SAMPLE, SYMBOL
+from barloom.schema import ASOF, DATE, ORDER, PRICES, RECOMMENDED_LABEL_COLUMNS, REQUIRED_BAR_COLUMNS, REQUIRED_LABEL_COLUMNS, SAMPLE, SYMBOL
 
 ORDER_CHUNK = 65_536  # rows of one file whose order is checked in one task
 

@@ -28,12 +28,16 @@ def local_session(app: str = "barloom", cores: str = "8", shuffle_partitions: in
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's `spark.checkpoint.dir`.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only a local session that names none gets a temporary folder; on a cluster that would
+    not be shared by the executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="barloom-")
-        spark.sparkContext.setCheckpointDir(root)
+        context.setCheckpointDir(root)
     return root
 
 

@@ -188,3 +188,30 @@ def test_two_model_scan(spark, dataset):
     assert len(rows) == 5
     assert all(r.score_min <= r.score_mean and r.rank_sum == r.rank_lgbm + r.rank_lr for r in rows)
     assert [r.score_mean for r in rows] == sorted((r.score_mean for r in rows), reverse=True)
+
+
+def test_reports(spark, dataset, tmp_path):
+    from barloom.plans import reports
+
+    bars, labels, samples = dataset
+    meta, features = samples.select("sample_id", "label", "split"), samples.select("sample_id", *FEATURES)
+    sections = reports.inspect_dataset(meta, features, 3)
+    assert sections["shape_check"].first().ids_aligned and sections["top_missing"].count() == 3
+    summary = {r.feature: r.asDict() for r in sections["numeric_summary"].collect()}
+    want = features.toPandas()[FEATURES].describe().T
+    for f in FEATURES:
+        for ours, theirs in {"mean": "mean", "std": "std", "q25": "25%", "q50": "50%", "max": "max"}.items():
+            assert summary[f][ours] == pytest.approx(want.loc[f, theirs])
+    with pytest.raises(ValueError):
+        reports.inspect_dataset(meta.limit(3), features)
+
+    predictions = jobs.train_and_validate(samples).predictions
+    found = reports.inspect_predictions(predictions, 5)
+    assert found["basic_info"].first().mode == "validation" and found["top_high_score"].count() == 5
+    scan_only = reports.inspect_predictions(predictions.drop("y_true", "y_pred"), 5)
+    assert "validation_metrics" not in scan_only
+
+    contract = reports.check_contract(labels, bars, 80)
+    assert contract["verdict"].first().ok
+    reports.save_report({"verdict": contract["verdict"]}, str(tmp_path / "report"))
+    assert readers.read_report(spark, str(tmp_path / "report/verdict")).first().ok
