@@ -78,9 +78,18 @@ def average_ranks(df: DataFrame, value: str, key: str, name: str, group: Sequenc
 
 
 def quantiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], key: str, group: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    probabilities: dict[str, float],
+    key: str,
+    group: Sequence[str] = (),
+    aggregates: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, one column per name."""
+    """Exact linear-interpolated quantiles per group, one column per name.
+
+    With a group, further `aggregates` of the value are taken from the same sorted run, so
+    that the input is evaluated once.
+    """
     placed = positions(df.select(*group, value, key).where(F.col(value).isNotNull()), [value, key], group)
     last = (F.col("group_rows") - 1).cast("double")
     picks = []
@@ -103,6 +112,10 @@ def quantiles(
         F.max("_pick.part").alias("_part"),
     )
     interpolated = F.col("_a") + F.coalesce((F.col("_b") - F.col("_a")) * F.col("_part"), F.lit(0.0))
-    return picked.groupBy(*group).agg(
+    found = picked.groupBy(*group).agg(
         *[F.max(F.when(F.col("_q") == name, interpolated)).alias(name) for name in probabilities]
     )
+    if not aggregates:
+        return found
+    others = placed.groupBy(*group).agg(*[a.alias(name) for name, a in aggregates.items()])
+    return others.join(found, list(group))

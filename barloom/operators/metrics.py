@@ -110,10 +110,8 @@ def score_summary(
     groups = list(group) or ["_all"]
     named = predictions if group else predictions.withColumn("_all", F.lit(1))
     rows = named.select(*groups, key, to_number(score).alias("_v")).where(F.col("_v").isNotNull())
-    moments = rows.groupBy(*groups).agg(
-        F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")
-    )
-    out = moments.join(quantiles(rows, "_v", SCORE_QUANTILES, key, groups), groups)
+    moments = {"mean": F.avg("_v"), "std": F.stddev_pop("_v"), "min": F.min("_v"), "max": F.max("_v")}
+    out = quantiles(rows, "_v", SCORE_QUANTILES, key, groups, moments)
     return out if group else out.drop("_all")
 
 

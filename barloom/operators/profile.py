@@ -109,14 +109,16 @@ def numeric_summary(features: DataFrame, columns: Sequence[str] = FEATURES, key:
     long = features.select(key, *[to_number(c).alias(c) for c in columns]).unpivot(
         key, list(columns), "feature", "value"
     )
-    moments = long.groupBy("feature").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    names = ["mean", "std", "min", "max", *QUARTILES]
-    return moments.join(quantiles(long, "value", QUARTILES, key, ["feature"]), "feature", "left").na.fill(0.0, names)
+    moments = {
+        "mean": F.avg("value"),
+        "std": F.stddev_samp("value"),
+        "min": F.min("value"),
+        "max": F.max("value"),
+    }
+    found = quantiles(long, "value", QUARTILES, key, ["feature"], moments)
+    # a feature without any value has no row among the quantiles
+    names = features.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return names.join(found, "feature", "left").na.fill(0.0, [*moments, *QUARTILES])
 
 
 def dataset_snapshot(samples: DataFrame) -> DataFrame:

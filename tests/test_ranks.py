@@ -169,3 +169,13 @@ def test_whole_comparison(spark):
     assert result.sections["basic_info"].first().rows_aligned == 300
     assert {r.model for r in result.sections["metrics"].collect()} == {"a", "b"}
     assert result.sections["false_positive_a"].count() <= 10
+
+
+def test_summary_of_a_feature_without_values(spark):
+    from barloom.operators.profile import feature_spread, missingness, numeric_summary
+
+    rows = spark.createDataFrame([("a", 1.0, None), ("b", 3.0, None)], "sample_id string, x double, y double")
+    got = {r.feature: r for r in numeric_summary(rows, ["x", "y"]).collect()}
+    assert (got["x"]["mean"], got["x"]["q25"], got["y"]["mean"], got["y"]["max"]) == (2.0, 1.5, 0.0, 0.0)
+    assert {r.feature: r.is_constant for r in feature_spread(rows, ["x", "y"]).collect()} == {"x": False, "y": True}
+    assert {r.feature: r.missing_count for r in missingness(rows, ["x", "y"]).collect()} == {"x": 0, "y": 2}
