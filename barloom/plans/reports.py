@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import metrics, profile, quality
 from barloom.operators.ranking import bottom_scores, top_scores
-from barloom.schema import FEATURES, SAMPLE
+from barloom.schema import FEATURES, RECOMMENDED_LABEL_COLUMNS, SAMPLE
 from barloom.sources.writers import write_report
 
 
@@ -59,10 +59,10 @@ def inspect_predictions(
 def check_contract(labels: DataFrame, bars: DataFrame, min_history: int = 80) -> dict[str, DataFrame]:
     """The lenient contract check: statistics, issues by severity, and the verdict."""
     findings = quality.contract_findings(labels, bars, min_history)
-    present = [c in labels.columns for c in quality.RECOMMENDED_LABEL_COLUMNS]
+    present = [c in labels.columns for c in RECOMMENDED_LABEL_COLUMNS]
     return {
         "recommended_columns": labels.sparkSession.createDataFrame(
-            list(zip(quality.RECOMMENDED_LABEL_COLUMNS, present)), "column string, present boolean"
+            list(zip(RECOMMENDED_LABEL_COLUMNS, present)), "column string, present boolean"
         ),
         "daily_directory": quality.universe_summary(bars),
         "label_contract": quality.label_contract(labels),
