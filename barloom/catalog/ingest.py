@@ -15,7 +15,7 @@ from barloom.operators.models import fill_features
 from barloom.operators.normalize import CONTRACT_UNITS, BarUnits, coerce_bars, duplicate_dates, normalize_bars
 from barloom.operators.screener import ScreenRules, bars_in_range, price_ok
 from barloom.operators.features import latest_bars
-from barloom.plans.jobs import experiment_row
+from barloom.plans.jobs import experiment_row, scan_features
 from barloom.schema import FEATURES
 from barloom.session import scratch_path
 from barloom.sources import readers, writers
@@ -43,14 +43,32 @@ def labels_csv(spark, sf):
 
 
 @query(
-    "predictions_csv_by_date",
+    "predictions_csv",
     sql("select sample_id, ts_code, asof_date, cast(y_true as double) as y_true, score_a as y_score from preds"),
 )
-def predictions_csv_by_date(spark, sf):
+def predictions_csv(spark, sf):
     path = scratch_path(spark, "predictions")
     writers.write_predictions(model_predictions(spark, sf, "a"), path)
     found = readers.read_predictions(spark, path)
-    return found.select("sample_id", "ts_code", F.col("asof_date").cast("date"), "y_true", "y_score")
+    return found.select("sample_id", "ts_code", "asof_date", "y_true", "y_score")
+
+
+@query(
+    "scan_csv_by_date",
+    sql(
+        f"""select concat(ts_code, '_', cast(trade_date as string)) as sample_id, ts_code, trade_date as asof_date,
+        {r('volatility_20', 'score')} from price_features
+        where rn >= 160 and trade_date = (select max(trade_date) from price_bars p where p.ts_code = price_features.ts_code)"""
+    ),
+)
+def scan_csv_by_date(spark, sf):
+    """A feature stands in for the model score."""
+    path = scratch_path(spark, "scan")
+    found = scan_features(derived(spark, sf, "price_bars"), 120, 160)
+    scores = found.select("sample_id", "ts_code", "asof_date", F.col("volatility_20").alias("score"))
+    writers.write_predictions(scores, path)
+    again = readers.read_predictions(spark, path)
+    return rounded(again.select("sample_id", "ts_code", F.col("asof_date").cast("date"), "score"))
 
 
 TIME_SPLIT_SQL = """

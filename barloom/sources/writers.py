@@ -30,8 +30,8 @@ def write_sequences(sequences: DataFrame, path: str) -> None:
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Predictions as CSV; scans go into folders named by their as-of date."""
-    if ASOF in predictions.columns:
+    """Predictions as CSV; those of a scan go into folders named by their as-of date."""
+    if ASOF in predictions.columns and "y_true" not in predictions.columns:
         spread = predictions.hint("rebalance", ASOF)
         spread.write.mode("overwrite").option("header", True).partitionBy(ASOF).csv(path)
     else:
