@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers find this package beside the driver's, where no PYTHONPATH or archive brings it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(name), F.lit(""))

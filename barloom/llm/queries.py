@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm.common import table
+from barloom.llm.common import table, workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,7 +15,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def register(run: Query) -> Query:
-        QUERIES[name] = run
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            workers_import(spark)
+            return run(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if oracle is not None:
             ORACLES[name] = oracle
         return run
@@ -28,3 +32,29 @@ def packed(spark, sf_dir):
     from barloom.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op10_hypergeometric_shards")
+def sharded(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from barloom.llm.common import whole_text
+    from barloom.llm.sharding import shard
+
+    rows = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(whole_text()).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op5_training_order")
+def training_order(spark, sf_dir):
+    from barloom.llm.token_output import write_token_shards
+
+    return write_token_shards(table(spark, sf_dir, "documents")).index
