@@ -58,3 +58,46 @@ def training_order(spark, sf_dir):
     from barloom.llm.token_output import write_token_shards
 
     return write_token_shards(table(spark, sf_dir, "documents")).index
+
+
+@query("op8_link_graph")
+def judged_urls(spark, sf_dir):
+    from barloom.llm.url_filter import judge_urls
+
+    rules = [
+        ("allow", "com/"),
+        ("block", "example.com/en/"),
+        ("allow", "www.example.com/en/"),
+        ("block", "net/es/"),
+        ("block", "net/fr/"),
+    ]
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op6_multiset_hash")
+def fingerprinted(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from barloom.llm import fingerprints as fp
+    from barloom.llm.neighbours import edited, numbered
+    from barloom.session import materialize
+
+    rows = materialize(edited(numbered(table(spark, sf_dir, "documents"))), "edited")
+    own = materialize(fp.fingerprint_rows(rows, "pos", "text"), "fingerprints")
+    changed = fp.fingerprint_rows(rows, "pos", "edited")
+    a, b = own, changed
+    a = a.withColumnsRenamed({c: f"a_{c}" for c in a.columns if c != "pos"})
+    b = b.withColumnsRenamed({c: f"b_{c}" for c in b.columns if c != "pos"})
+    c = own.withColumnsRenamed({x: f"c_{x}" for x in own.columns if x != "pos"}).withColumnRenamed("pos", "next_pos")
+    about = rows.select(
+        "pos", "next_pos", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
+    )
+    return about.join(a, "pos").join(b, "pos").join(c, "next_pos").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fp.as_text("a_").alias("fingerprint"),
+        fp.as_text("b_").alias("edited_fingerprint"),
+        fp.likeness("a_", "b_").alias("near_edited"),
+        fp.likeness("a_", "c_").alias("near_next"),
+    )
