@@ -100,3 +100,11 @@ def blocks_for(rows: int, rows_per_block: int) -> int:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """About `most` rows, never many more, chosen by a hash of `key`; all where there are no more than that."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1_000_000)) < int(1_000_000 * most / n))

@@ -101,3 +101,21 @@ def fingerprinted(spark, sf_dir):
         fp.likeness("a_", "b_").alias("near_edited"),
         fp.likeness("a_", "c_").alias("near_next"),
     )
+
+
+@query("op2_empirical_bayes_quality")
+def quality(spark, sf_dir):
+    from barloom.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
+
+
+@query("op4_weak_supervision")
+def toxicity(spark, sf_dir):
+    from barloom.llm.common import fold
+    from barloom.llm.toxicity import toxicity_scores
+
+    scores = toxicity_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), fold("doc_id", 4) != 2
+    )
+    return scores.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "posterior")
