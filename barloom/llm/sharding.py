@@ -6,10 +6,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ordering import positions
 from barloom.session import materialize
 
 
@@ -71,21 +70,22 @@ def _normal_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int
     return int(min(max(round(rng.normal(n * p, spread)), max(0, n - bad)), min(good, n)))
 
 
-def shard(rows: DataFrame, shards: int = 24, seed: int = 42) -> DataFrame:
+def shard(rows: DataFrame, shards: int = 24, seed: int = 42, rows_per_block: int = 2048) -> DataFrame:
     """Put all rows into `shards` in uniformly random order; adds `shard` and `slot` (gapless from 0).
 
     1. The rows are written once with their partition and place in it, which fixes what is permuted.
     2. A hypergeometric communication matrix (partitions x shards, on the driver) gives exact counts.
     3. Each partition is permuted locally and dealt out by its row of the matrix.
-    4. The exchange goes by (shard, random key) in ranges, so that a shard may span many tasks, and each
-       range is permuted again: sorted by the key, which is drawn anew for every row.
+    4. Every row draws a random key. The key's high part names a block of its shard, about `rows_per_block`
+       rows; the exchange goes by block, so that no task gets a whole shard, and each block is permuted
+       again by sorting its keys. Blocks follow one another in the shard, by their counts.
 
     Copies, ties and nulls in any column are rows like others; no rows give no rows; there are empty shards
     if rows are fewer. Columns named `shard` or `slot` (any case) of the input are replaced.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    own = ("shard", "slot", "_part", "_row", "_in", "_place", "_key", "pos", "group_rows", "_before", "_size", "_first")
+    own = ("shard", "slot", "_part", "_row", "_in", "_place", "_key", "_block", "_before")
     kept = [c for c in rows.columns if c.lower() not in own]
     fixed = materialize(
         rows.select(*[F.col(f"`{c}`") for c in kept])
@@ -107,11 +107,26 @@ def shard(rows: DataFrame, shards: int = 24, seed: int = 42) -> DataFrame:
             out[at] = np.searchsorted(ends[i], _order(seed, int(p), sent[i][1])[places[at]], side="right")
         return pd.Series(out)
 
-    dealt = fixed.withColumn("shard", deal("_in", "_place")).withColumn(
-        "_key", F.xxhash64(F.lit(seed), F.lit("again"), "_in", "_place")
+    blocks = max(1, -(-sum(n for _, n in sent) // (shards * rows_per_block)))
+    key = F.xxhash64(F.lit(seed), F.lit("again"), "_in", "_place")
+    dealt = (
+        fixed.withColumn("shard", deal("_in", "_place"))
+        .withColumn("_key", key)
+        .withColumn("_block", F.pmod(F.shiftright("_key", 24), F.lit(blocks)))
+    )
+    earlier = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(
+        dealt.groupBy("shard", "_block")
+        .agg(F.count("*").alias("_n"))
+        .select("shard", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")),
+        "blocks",
+    )
+    again = Window.partitionBy("shard", "_block").orderBy("_key", "_in", "_place")
+    return (
+        dealt.join(starts, ["shard", "_block"])
+        .withColumn("slot", F.col("_before") + F.row_number().over(again) - 1)
+        .select(*[F.col(f"`{c}`") for c in kept], "shard", "slot")
     )
-    placed = positions(dealt, ["_key", "_in", "_place"], ["shard"])
-    return placed.select(*[F.col(f"`{c}`") for c in kept], "shard", F.col("pos").alias("slot"))
 
 
 @lru_cache(maxsize=8)
