@@ -10,6 +10,8 @@ LANES, WORDS, HASHES = 8, 40, 2
 FIELDS = 3
 MASK = (1 << 40) | (1 << 20) | 1
 PER_HASH = WORDS // HASHES
+LANE_NAMES = [f"lane{i}" for i in range(LANES)]
+WORD_NAMES = [f"word{i}" for i in range(WORDS)]
 UNIT_BREAKS = r"(?<=[.!?|])\s+"
 
 
@@ -18,46 +20,40 @@ def paragraphs(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _paragraph_lanes() -> list[Column]:
-    """32 bits per lane from the SHA-256 of the whole paragraph."""
-    digest = F.sha2(F.col("_paragraph"), 256)
-    return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long").alias(f"lane{i}") for i in range(LANES)]
-
-
-def fingerprint_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per `key` with its sums: `lanes`, `words` and `units`, from the paragraphs of `text`.
+def fingerprint_rows(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row per `keys` with its sums `lane*`, `word*` and `units`, from the paragraphs of `text`.
 
     A paragraph's wide vector has two parts. The equality part is its SHA-256 as eight lanes modulo 2^32. The
     likeness part has 120 fields, in longs of three fields of 20 bits: every sentence of the paragraph sets
     the fields that its hash bits name. A document's fingerprint is the lane-wise sum over its paragraphs, so
     it does not depend on their order, and a paragraph is inserted or deleted by adding or subtracting its
     vector. Fields hold a million sentences before they carry; a carry blurs the likeness, never the equality.
+
+    A null text is one empty paragraph, as an empty one is. Keys must name a text; equal keys are summed.
     """
-    split = texts.select(key, F.explode(paragraphs(F.col(text))).alias("_paragraph")).select(
-        key, "_paragraph", *_paragraph_lanes()
-    )
-    return _vectors(split, key).groupBy(key).agg(
-        *[F.sum(f"lane{i}").alias(f"lane{i}") for i in range(LANES)],
-        *[F.sum(f"word{i}").alias(f"word{i}") for i in range(WORDS)],
-        F.sum("units").alias("units"),
+    split = texts.select(*keys, F.explode(paragraphs(F.col(text))).alias("_paragraph"))
+    return (
+        paragraph_vectors(split, keys, "_paragraph")
+        .groupBy(*keys)
+        .agg(*[F.sum(c).alias(c) for c in [*LANE_NAMES, *WORD_NAMES, "units"]])
     )
 
 
-def _vectors(split: DataFrame, key: str) -> DataFrame:
-    """Explode into sentences; the paragraph's lanes stand on its first sentence."""
-    units = split.select(
-        key, *[f"lane{i}" for i in range(LANES)], F.posexplode(F.split("_paragraph", UNIT_BREAKS, -1)).alias("_at", "_unit")
-    ).select(
-        key,
-        *[F.when(F.col("_at") == 0, F.col(f"lane{i}")).otherwise(0).alias(f"lane{i}") for i in range(LANES)],
+def paragraph_vectors(split: DataFrame, keys: list[str], paragraph: str) -> DataFrame:
+    """One row per sentence; the paragraph's lanes stand on its first one, so its vector is the sum of its rows."""
+    digest = F.sha2(F.col(paragraph), 256)
+    lanes = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long").alias(c) for i, c in enumerate(LANE_NAMES)]
+    units = split.select(*keys, *lanes, F.posexplode(F.split(paragraph, UNIT_BREAKS, -1)).alias("_at", "_unit")).select(
+        *keys,
+        *[F.when(F.col("_at") == 0, F.col(c)).otherwise(0).alias(c) for c in LANE_NAMES],
         *[F.xxhash64(F.lit(h), F.trim("_unit")).alias(f"_h{h}") for h in range(HASHES)],
     )
     return units.select(
-        key,
-        *[f"lane{i}" for i in range(LANES)],
+        *keys,
+        *LANE_NAMES,
         *[
-            F.shiftrightunsigned(F.col(f"_h{i // PER_HASH}"), i % PER_HASH).bitwiseAND(F.lit(MASK)).alias(f"word{i}")
-            for i in range(WORDS)
+            F.shiftrightunsigned(F.col(f"_h{i // PER_HASH}"), i % PER_HASH).bitwiseAND(F.lit(MASK)).alias(c)
+            for i, c in enumerate(WORD_NAMES)
         ],
         F.lit(1).cast("long").alias("units"),
     )

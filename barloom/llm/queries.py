@@ -79,20 +79,21 @@ def fingerprinted(spark, sf_dir):
     from pyspark.sql import functions as F
 
     from barloom.llm import fingerprints as fp
-    from barloom.llm.neighbours import edited, numbered
+    from barloom.llm.neighbours import edited
     from barloom.session import materialize
 
-    rows = materialize(edited(numbered(table(spark, sf_dir, "documents"))), "edited")
-    own = materialize(fp.fingerprint_rows(rows, "pos", "text"), "fingerprints")
-    changed = fp.fingerprint_rows(rows, "pos", "edited")
-    a, b = own, changed
-    a = a.withColumnsRenamed({c: f"a_{c}" for c in a.columns if c != "pos"})
-    b = b.withColumnsRenamed({c: f"b_{c}" for c in b.columns if c != "pos"})
-    c = own.withColumnsRenamed({x: f"c_{x}" for x in own.columns if x != "pos"}).withColumnRenamed("pos", "next_pos")
-    about = rows.select(
-        "pos", "next_pos", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
-    )
-    return about.join(a, "pos").join(b, "pos").join(c, "next_pos").select(
+    rows = edited(table(spark, sf_dir, "documents")).select(
+        "row", "next_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.col("text").alias("t")), F.struct(F.lit("b").alias("kind"), F.col("edited").alias("t")))).alias("v"),
+    )
+    about = ["row", "next_row", "doc_id", "n_chars", "edited_sha256", "kind"]
+    both = materialize(fp.fingerprint_rows(rows.select(*about[:-1], "v.kind", "v.t"), about, "t"), "fingerprints")
+    own, changed = both.where("kind = 'a'").drop("kind"), both.where("kind = 'b'").drop("kind", *about[1:-1])
+    sums = [c for c in both.columns if c not in about]
+    a = own.withColumnsRenamed({c: f"a_{c}" for c in sums})
+    b = changed.withColumnsRenamed({c: f"b_{c}" for c in sums})
+    c = own.select(F.col("row").alias("next_row"), *[F.col(x).alias(f"c_{x}") for x in sums])
+    return a.join(b, "row").join(c, "next_row").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
