@@ -120,3 +120,10 @@ def toxicity(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), fold("doc_id", 4) != 2
     )
     return scores.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "posterior")
+
+
+@query("op9_order_min_hash")
+def near_duplicate_classes(spark, sf_dir):
+    from barloom.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row", "class_row")
