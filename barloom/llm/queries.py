@@ -127,3 +127,10 @@ def near_duplicate_classes(spark, sf_dir):
     from barloom.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row", "class_row")
+
+
+@query("op1_cgk_lsh")
+def contaminated(spark, sf_dir):
+    from barloom.llm.decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
