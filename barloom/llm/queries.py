@@ -134,3 +134,11 @@ def contaminated(spark, sf_dir):
     from barloom.llm.decontamination import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_backoff_automaton")
+def lm_scored(spark, sf_dir):
+    from barloom.llm.common import fold
+    from barloom.llm.language_model import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
