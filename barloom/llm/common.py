@@ -4,19 +4,12 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
-#: What separates words, space and the five ASCII controls from tab to carriage return.
-SEPARATORS = "\x20\x09-\x0d"
-TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
-#: A-Z lower-cased, other letters untouched; separators become a space.
-ASCII_LOWER_TO_SPACE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,41 +46,65 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_hash(text: str) -> int:
-    """A 63-bit hash of a text that is the same on every machine."""
-    import xxhash
+_BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2^64
+_CHUNK = 1 << 20
 
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
+def _byte_table(lower: bool) -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[0] = 255  # no UTF-8 byte is 255
+    if lower:
+        table[ord("A") : ord("Z") + 1] += 32
+    table[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+    return table
 
-class WordHashes(dict):
-    """word -> 64-bit hash; emptied when it holds `limit` words, which bounds a worker's memory."""
 
-    def __init__(self, limit: int = 400_000) -> None:
-        super().__init__()
-        self.limit = limit
+_TABLES = {lower: _byte_table(lower) for lower in (False, True)}
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = text_hash(word)
-        return value
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+class _Powers:
+    """Powers of the base and of its inverse, as far as a text has needed them."""
 
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
 
-def frames(columns: list[str]):
-    """Decorate a generator over pandas frames so that empty input still has its columns."""
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, _CHUNK + 1)
+            with np.errstate(over="ignore"):
+                self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
+                self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)])
 
-    def wrap(step):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for out in step(batches):
-                yield out[columns]
 
-        return run
+_POWERS = _Powers()
 
-    return wrap
+
+def hash_words(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, and where each text begins among them (and the total).
+
+    Words lie between the six ASCII separators; `lower` folds A-Z. A word's hash is a polynomial of its bytes,
+    read off running sums over the whole batch, and mixed.
+    """
+    found, counts = [], []
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    at = 0
+    while at < len(raw):
+        end, size = at + 1, len(raw[at])
+        while end < len(raw) and size + len(raw[end]) < _CHUNK:
+            size += len(raw[end]) + 1
+            end += 1
+        data = _TABLES[lower][np.frombuffer(b" ".join(raw[at:end]) + b" ", np.uint8)]
+        _POWERS.reach(len(data) + 1)
+        word = data != 0
+        edge = np.flatnonzero(np.diff(np.r_[False, word].astype(np.int8)))
+        starts, ends = edge[0::2], edge[1::2]
+        sums = np.r_[np.uint64(0), np.cumsum(data.astype(np.uint64) * _POWERS.up[: len(data)])]
+        found.append(mix64((sums[ends] - sums[starts]) * _POWERS.down[starts]))
+        begins = np.cumsum([0] + [len(x) + 1 for x in raw[at:end]])
+        counts.append(np.diff(np.searchsorted(starts, begins)))
+        at = end
+    hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return hashes, np.cumsum(np.r_[0, np.concatenate(counts)]) if counts else np.zeros(1, np.int64)
 
 
 def crc_u32(data: bytes) -> int:

@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.alignment import FAR
 from barloom.llm.common import mix64
 from barloom.session import materialize
 
 #: Coordinates per key; ratio of the item sizes of a class; most repetitions that a search may take.
 COORDINATES, CLASS_RATIO, MOST_REPETITIONS = 4, 1.25, 96
+FAR = 1 << 29
 #: Flags for pairs of neighbouring words, by hash; two pairs on one flag only let more windows through.
 PAIR_SLOTS = 1 << 24
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ASCII_LOWER_TO_SPACE, WordHashes, mix64, shuffle_width
+from barloom.llm.common import hash_words, mix64, shuffle_width
 from barloom.session import materialize
 
 #: Fixed hashes: the end of a text as a token, and the state before its first token.
@@ -19,11 +19,6 @@ END, START = np.uint64(0x9D5C0FB10F34A3C7), np.uint64(0x3C6EF372FE94F82B)
 BASE = 0.1
 
 
-def split_words(text: str) -> list[str]:
-    """Words between the six separators, A-Z lower-cased."""
-    return [w for w in text.translate(ASCII_LOWER_TO_SPACE).split(" ") if w]
-
-
 @dataclass
 class Block:
     """The tokens of a block's texts, one after another, each text with its end."""
@@ -36,13 +31,11 @@ class Block:
     bigram_at: np.ndarray
 
 
-def read_block(texts: list[str], hashes: WordHashes) -> Block:
-    parts, edges = [], [0]
-    for text in texts:
-        words = split_words(text)
-        parts.append(np.append(hashes.of(words), END))
-        edges.append(edges[-1] + len(words) + 1)
-    tokens, bounds = np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(edges)
+def read_block(texts: list[str]) -> Block:
+    """Words between the six ASCII separators, A-Z lower-cased, and an end after each text."""
+    words, starts = hash_words(texts, lower=True)
+    tokens = np.insert(words, starts[1:], END)
+    bounds = starts + np.arange(len(starts))
     before = np.r_[START, tokens[:-1]] if len(tokens) else tokens
     before[bounds[:-1]] = START
     pairs = mix64(before * np.uint64(0x9E3779B97F4A7C15) + mix64(tokens))
@@ -60,8 +53,8 @@ def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _counted(buckets: int):
     """Per block and bucket, the block's distinct n-grams and how often its training texts hold them."""
 
-    def count(block: int, texts: list[str], held: list[bool], hashes: WordHashes) -> pd.DataFrame:
-        read = read_block(texts, hashes)
+    def count(block: int, texts: list[str], held: list[bool]) -> pd.DataFrame:
+        read = read_block(texts)
         trained = np.repeat(~np.array(held, bool), np.diff(read.edges))
         rows = []
         for order, grams, at in ((1, read.unigrams, read.unigram_at), (2, read.bigrams, read.bigram_at)):
@@ -74,18 +67,18 @@ def _counted(buckets: int):
         return pd.DataFrame(rows, columns=["block", "bucket", "gram", "hashes", "n"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, open_block, texts, held = WordHashes(), None, [], []
+        open_block, texts, held = None, [], []
         for batch in batches:
             # a block is a run of rows, which may go on in the next batch
             for block, rows in batch.groupby("block", sort=True):
                 if open_block is not None and block != open_block:
-                    yield count(open_block, texts, held, hashes)
+                    yield count(open_block, texts, held)
                     texts, held = [], []
                 open_block = int(block)
                 texts += rows["text"].tolist()
                 held += rows["held_out"].tolist()
         if open_block is not None:
-            yield count(open_block, texts, held, hashes)
+            yield count(open_block, texts, held)
 
     return run
 
@@ -148,7 +141,7 @@ def traverse(read: Block, unigrams: np.ndarray, bigrams: np.ndarray, model: Mode
 def _scored(model: Model):
     def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         docs = docs.sort_values("row")
-        read = read_block(docs["text"].tolist(), WordHashes())
+        read = read_block(docs["text"].tolist())
         counts = counts.sort_values(["gram", "bucket"])
         total = {
             order: np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in part["n"])])
