@@ -158,7 +158,7 @@ def quality_scores(
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows of `docs` whose (doc_id, text) is not among the `row_key`s of `rejected`."""
     return (
-        docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-        .join(rejected.select(F.col("row_key").alias("_row_key")), "_row_key", "left_anti")
-        .drop("_row_key")
+        docs.withColumn("__row_key", F.xxhash64("doc_id", "text"))
+        .join(rejected.select(F.col("row_key").alias("__row_key")), "__row_key", "left_anti")
+        .drop("__row_key")
     )

@@ -85,15 +85,14 @@ def shard(rows: DataFrame, shards: int = 24, seed: int = 42, rows_per_block: int
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    own = ("shard", "slot", "_part", "_row", "_in", "_place", "_key", "_block", "_before")
-    kept = [c for c in rows.columns if c.lower() not in own]
+    kept = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
     fixed = materialize(
         rows.select(*[F.col(f"`{c}`") for c in kept])
-        .withColumn("_in", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        .withColumn("__shard_in", F.spark_partition_id())
+        .withColumn("__shard_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
         "rows",
     )
-    sent = sorted((r["_in"], r["n"]) for r in fixed.groupBy("_in").agg(F.count("*").alias("n")).collect())
+    sent = sorted((r["__shard_in"], r["n"]) for r in fixed.groupBy("__shard_in").agg(F.count("*").alias("n")).collect())
     matrix = communication_matrix([n for _, n in sent], shard_sizes(sum(n for _, n in sent), shards), seed)
     row_of = {part: i for i, (part, _) in enumerate(sent)}
     ends = matrix.cumsum(axis=1)
@@ -108,23 +107,23 @@ def shard(rows: DataFrame, shards: int = 24, seed: int = 42, rows_per_block: int
         return pd.Series(out)
 
     blocks = max(1, -(-sum(n for _, n in sent) // (shards * rows_per_block)))
-    key = F.xxhash64(F.lit(seed), F.lit("again"), "_in", "_place")
+    key = F.xxhash64(F.lit(seed), F.lit("again"), "__shard_in", "__shard_place")
     dealt = (
-        fixed.withColumn("shard", deal("_in", "_place"))
-        .withColumn("_key", key)
-        .withColumn("_block", F.pmod(F.shiftright("_key", 24), F.lit(blocks)))
+        fixed.withColumn("shard", deal("__shard_in", "__shard_place"))
+        .withColumn("__shard_key", key)
+        .withColumn("__shard_block", F.pmod(F.shiftright("__shard_key", 24), F.lit(blocks)))
     )
-    earlier = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("shard").orderBy("__shard_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(
-        dealt.groupBy("shard", "_block")
+        dealt.groupBy("shard", "__shard_block")
         .agg(F.count("*").alias("_n"))
-        .select("shard", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")),
+        .select("shard", "__shard_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("__shard_before")),
         "blocks",
     )
-    again = Window.partitionBy("shard", "_block").orderBy("_key", "_in", "_place")
+    again = Window.partitionBy("shard", "__shard_block").orderBy("__shard_key", "__shard_in", "__shard_place")
     return (
-        dealt.join(starts, ["shard", "_block"])
-        .withColumn("slot", F.col("_before") + F.row_number().over(again) - 1)
+        dealt.join(starts, ["shard", "__shard_block"])
+        .withColumn("slot", F.col("__shard_before") + F.row_number().over(again) - 1)
         .select(*[F.col(f"`{c}`") for c in kept], "shard", "slot")
     )
 

@@ -147,16 +147,18 @@ def write_token_shards(
 
 def read_token_shards(spark: SparkSession, shards: TokenShards, first_slot: int = 0) -> DataFrame:
     """The records from `first_slot` on, as (slot, ids binary); whole shards before it are not opened."""
-    stride = 2 * shards.ids_per_record
+    stride, per_shard = 2 * shards.ids_per_record, shards.records_per_shard
+    if not shards.sequences:
+        return spark.createDataFrame([], "slot long, ids binary")
     files = spark.read.format("binaryFile").load(shards.path).where(
-        F.col("shard") >= first_slot // shards.records_per_shard
+        F.col("shard") >= first_slot // per_shard
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, content in zip(batch["shard"], batch["content"]):
                 n = len(content) // stride
-                out = pd.DataFrame({"slot": np.arange(n) + int(shard) * shards.records_per_shard})
+                out = pd.DataFrame({"slot": np.arange(n) + int(shard) * per_shard})
                 out["ids"] = [content[i * stride : (i + 1) * stride] for i in range(n)]
                 yield out[out["slot"] >= first_slot]
 

@@ -195,7 +195,7 @@ def fit_label_model(votes: np.ndarray, n: np.ndarray, known: np.ndarray, rounds:
         weight = 1 / (1 + np.where(correlated > 0.1, correlated, 0).sum(axis=1))
         model = LabelModel(fires_toxic, fires_clean, prior, weight)
         new = np.where(known >= 0, known, model.posterior(votes))
-        if np.abs(new - p).max() < 1e-6:
+        if np.abs(new - p).max(initial=0) < 1e-6:
             break
         p = new
     return model
