@@ -71,9 +71,8 @@ def _validated(name, **params):
 
 
 query("validate_logistic_regression")(_validated("logistic_regression"))
-# the registered runs use fewer trees than the default configurations
-query("validate_boosted_trees_balanced")(_validated("lightgbm", maxIter=20))
-query("validate_boosted_trees")(_validated("xgboost", maxIter=20))
+query("validate_boosted_trees_balanced")(_validated("lightgbm"))
+query("validate_boosted_trees")(_validated("xgboost"))
 
 
 @query("validation_metrics")
@@ -104,5 +103,5 @@ def scanned(spark, sf):
 @query("scan_intersection")
 def scanned_by_two(spark, sf):
     train = samples(spark, sf).where(F.col("split") == "train")
-    models = {"lgbm": m.train_model(train, "lightgbm", maxIter=5), "xgb": m.train_model(train, "xgboost", maxIter=5)}
+    models = {"lgbm": m.train_model(train, "lightgbm"), "xgb": m.train_model(train, "xgboost")}
     return rounded(scan_intersection(models, derived(spark, sf, "index_bars"), 200))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import count_if, holds, join_key, to_number
-from barloom.functions.ordering import average_ranks, quantiles
+from barloom.functions.ordering import average_ranks
 from barloom.operators.metrics import binary_metrics, prediction_mode, score_column, score_summary
 from barloom.schema import ASOF, SAMPLE, SYMBOL
 from barloom.session import materialize
@@ -231,18 +231,26 @@ def future_return_buckets(aligned: DataFrame, future: DataFrame, n: int) -> Data
     tests = dict(zip(BUCKETS, [a, b, a & b, a & ~b, b & ~a]))
     names = F.array_compact(F.array(*[F.when(t, name) for name, t in tests.items()]))
     members = top_n_membership(aligned, n).select(KEY, F.explode(names).alias("bucket"))
+    # the key is that of the alignment, whatever else the returns carry
+    keys = [SAMPLE] if SAMPLE in aligned.columns else [SYMBOL, ASOF]
+    missing = [k for k in keys if k not in future.columns]
+    if missing:
+        raise KeyError(f"future returns lack the key of the alignment: {missing}")
     returns = future.select(
-        join_key(future).alias(KEY), to_number("future_return").alias("future_return")
+        join_key(future.select(*keys)).alias(KEY), to_number("future_return").alias("future_return")
     ).where(F.col("future_return").isNotNull())
+    # at most n keys a bucket, so an exact percentile fits one buffer
     found = members.join(returns, KEY)
-    medians = quantiles(found, "future_return", {"median": 0.5}, KEY, ["bucket"])
     stats = found.groupBy("bucket").agg(
-        F.count("*").alias("count"), F.avg("future_return").alias("mean"), F.stddev_pop("future_return").alias("std")
+        F.count("*").alias("count"),
+        F.avg("future_return").alias("mean"),
+        F.percentile("future_return", 0.5).alias("median"),
+        F.stddev_pop("future_return").alias("std"),
     )
     spark = aligned.sparkSession
     buckets = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in BUCKETS])).alias("bucket"))
     return (
-        buckets.join(stats, "bucket", "left").join(medians, "bucket", "left")
+        buckets.join(stats, "bucket", "left")
         .select("bucket", F.coalesce("count", F.lit(0)).alias("count"), "mean", "median", "std")
     )
 
@@ -265,6 +273,8 @@ def compare_predictions(
 ) -> Comparison:
     """All sections of a comparison; validation sections where the truth is known."""
     aligned = materialize(align_predictions(a, b, score_a, score_b), "aligned")
+    if aligned.isEmpty():
+        raise ValueError("the two prediction sets share no key with both scores")
     scores = aligned.unpivot(KEY, ["score_a", "score_b"], "model", "y_score")
     sections = {
         "basic_info": alignment_info(a, b, aligned),

@@ -17,12 +17,15 @@ from barloom.operators.splits import assign_split
 from barloom.schema import ASOF, DATE, FEATURES, LABEL_ALIASES, SAMPLE, SAMPLE_META, SYMBOL
 
 
-def prepare_labels(labels: DataFrame) -> DataFrame:
-    """Contract names, dates, sample ids and default attributes."""
+def prepare_labels(labels: DataFrame, keep_unnamed: bool = False) -> DataFrame:
+    """Contract names, dates, sample ids and default attributes.
+
+    Labels without a date are left out, and those without a symbol unless `keep_unnamed`.
+    """
     named = rename_aliases(labels, LABEL_ALIASES)
-    named = named.withColumn(ASOF, to_date(ASOF, named.schema[ASOF].dataType)).where(
-        F.col(ASOF).isNotNull() & F.col(SYMBOL).isNotNull()
-    )
+    named = named.withColumn(ASOF, to_date(ASOF, named.schema[ASOF].dataType)).where(F.col(ASOF).isNotNull())
+    if not keep_unnamed:
+        named = named.where(F.col(SYMBOL).isNotNull())
     out = fill_sample_id(named)
     if "label_source" not in out.columns:
         out = out.withColumn("label_source", F.lit("labels.csv"))

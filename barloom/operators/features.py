@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import pick_column, safe_div
-from barloom.functions.frames import by_date, last_rows, newest_first, up_to_now
+from barloom.functions.frames import by_date, last_rows, newest_rows, up_to_now
 from barloom.functions.rolling import Rolling
 from barloom.schema import DATE, FEATURES, SYMBOL
 
@@ -152,10 +152,7 @@ def latest_features(bars: DataFrame, window_size: int = 120, min_history: int =
     size = window_size
     if size <= 0 or min_history <= 0:
         raise ValueError("window_size and min_history must be positive")
-    counted = _window_input(bars, []).withColumns(
-        {"_age": F.row_number().over(newest_first()) - 1, "_bars": F.count("*").over(newest_first().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}
-    )
-    window = counted.where((F.col("_age") < size) & (F.col("_bars") >= max(size, min_history)))
+    window = newest_rows(_window_input(bars, []), size).where(F.col("_bars") >= max(size, min_history))
     moving = {}
     for n in (10, 20):
         frame = last_rows(n)

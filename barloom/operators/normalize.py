@@ -85,8 +85,10 @@ def one_bar_per_date(bars: DataFrame, policy: str = "raise") -> DataFrame:
         raise ValueError(f"unknown duplicate policy: {policy}")
     if ORDER not in bars.columns:
         raise KeyError(f"duplicate policy {policy} needs the file order column {ORDER}")
-    pick = F.min_by if policy == "first" else F.max_by
-    return bars.groupBy(SYMBOL, DATE).agg(*[pick(c, ORDER).alias(c) for c in values])
+    # one struct of a whole row, led by the file order, so that ties never mix two rows
+    row = F.struct(ORDER, *values)
+    kept = (F.min if policy == "first" else F.max)(row).alias("_bar")
+    return bars.groupBy(SYMBOL, DATE).agg(kept).select(SYMBOL, DATE, *[F.col(f"_bar.{c}").alias(c) for c in values])
 
 
 def derive_previous_close(bars: DataFrame) -> DataFrame:

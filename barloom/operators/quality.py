@@ -86,7 +86,12 @@ def bar_quality(bars: DataFrame) -> DataFrame:
         count_if(F.col(DATE).isNull()).alias("invalid_trade_date"),
         (F.count(DATE) - F.countDistinct(DATE)).alias("duplicate_dates"),
         *[count_if(rule).alias(name) for name, rule in rules.items()],
+        *([F.count("amount").alias("_amounts")] if "amount" in bars.columns else []),
     )
+    if "amount" in bars.columns:
+        # a symbol without any amount comes from a file that lacks the optional column
+        given = F.col("_amounts") > 0
+        report = report.withColumn("invalid_amount", F.when(given, F.col("invalid_amount")).otherwise(0)).drop("_amounts")
     if ORDER in bars.columns:
         report = report.join(_descents(clean), SYMBOL, "left").fillna(0, ["descents"])
     else:
@@ -117,10 +122,16 @@ def keep_sound_symbols(bars: DataFrame) -> DataFrame:
 
     For normalised bars, whose dates are valid, unique and unordered.
     """
-    faulty = reduce(or_, [holds(rule) for rule in _bar_rules(bars.columns).values()])
-    return (
-        bars.withColumn("_faults", F.sum(faulty.cast("int")).over(whole_symbol())).where("_faults = 0").drop("_faults")
-    )
+    rules = {name: holds(rule) for name, rule in _bar_rules(bars.columns).items()}
+    on_amount = rules.pop("invalid_amount", F.lit(False))
+    marked = bars.withColumn("_faults", F.sum(reduce(or_, rules.values()).cast("int")).over(whole_symbol()))
+    if "amount" in bars.columns:
+        # as in `bar_quality`, a symbol without any amount lacks the optional column
+        given = F.count("amount").over(whole_symbol()) > 0
+        marked = marked.withColumn(
+            "_faults", F.col("_faults") + F.when(given, F.sum(on_amount.cast("int")).over(whole_symbol())).otherwise(0)
+        )
+    return marked.where("_faults = 0").drop("_faults")
 
 
 def _label_number(labels: DataFrame) -> Column:
@@ -211,8 +222,11 @@ def label_coverage(labels: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def label_alignment(labels: DataFrame, bars: DataFrame, min_history: int) -> DataFrame:
-    """Each dated label with the first issue that applies, NULL where there is none."""
-    found = labels.join(label_coverage(labels, bars), [SYMBOL, ASOF])
+    """Each dated label with the first issue that applies, NULL where there is none.
+
+    A label without a symbol has no bars, which is its issue.
+    """
+    found = labels.where(F.col(ASOF).isNotNull()).join(label_coverage(labels, bars), [SYMBOL, ASOF], "left")
     issue = (
         F.when(F.col("first_trade").isNull(), "missing_daily_file")
         .when((F.col(ASOF) < F.col("first_trade")) | (F.col(ASOF) > F.col("last_trade")), "asof_not_covered")

@@ -6,11 +6,11 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import holds
-from barloom.functions.frames import last_rows, newest_first, whole_symbol
+from barloom.functions.frames import last_rows, newest_rows, whole_symbol
 from barloom.functions.rolling import Rolling
 from barloom.operators.indicators import GUARD
 from barloom.schema import DATE, SYMBOL
@@ -20,6 +20,8 @@ from barloom.schema import DATE, SYMBOL
 class ScreenRules:
     """Thresholds; returns are shares of 1, `pct_chg` and `turnover_rate` are percent."""
 
+    # Default thresholds.
+
     start_date: str = "2025-01-01"
     end_date: str | None = None  # None: today
 
@@ -83,18 +85,9 @@ def is_limit_up(rules: ScreenRules = ScreenRules()) -> Column:
     return holds(F.col("pct_chg") >= bar)
 
 
-def _newest(bars: DataFrame, rows: int) -> DataFrame:
-    """The last rows of each symbol, with their age (0 is the latest) and the bar count.
-
-    Everything after this works on a bounded tail, whatever the length of the history.
-    """
-    aged = bars.withColumns({"_age": F.row_number().over(newest_first()) - 1, "_bars": F.count("*").over(newest_first().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    return aged.where(F.col("_age") < rows)
-
-
 def prefilter(bars: DataFrame, rules: ScreenRules = ScreenRules()) -> DataFrame:
     """Symbols with a strong move, turnover or volume among their last bars."""
-    tail = _newest(bars, rules.prefilter_recent_days + 5)
+    tail = newest_rows(bars, rules.prefilter_recent_days + 5)
     five = last_rows(5)
     tail = tail.withColumn("_vma5", F.when(F.count("vol").over(five) == 5, F.avg("vol").over(five)))
     signals = [
@@ -119,13 +112,13 @@ def prefilter(bars: DataFrame, rules: ScreenRules = ScreenRules()) -> DataFrame:
 def _screen_tail(bars: DataFrame, rules: ScreenRules) -> DataFrame:
     """The last bars of each long enough symbol with all measures that the rules need."""
     look = rules.base_lookback
-    tail = _newest(bars_in_range(bars, rules), look + rules.impulse_lookback).where(
-        F.col("_bars") >= rules.min_bars
-    )
+    # the oldest row that may be an impulse still needs its longest frame
+    reach = rules.impulse_lookback + max(look, rules.breakout_lookback, 20)
+    tail = newest_rows(bars_in_range(bars, rules), reach).where(F.col("_bars") >= rules.min_bars)
     roll = Rolling()
     base_mean = roll.mean("vol", look, 1)
     base_high, base_low = roll.highest("high", look, 1), roll.lowest("low", look, 1)
-    recent_vol = roll.mean("vol", 20, 1)
+    recent_vol = roll.mean("vol", min(20, look), 1)
     measures = {
         "base_range_pct": base_high / (base_low + GUARD) - 1.0,
         "base_vol_cv": roll.std("vol", look, 1, sample=True) / (base_mean + GUARD),
@@ -156,6 +149,7 @@ def _is_impulse(tail: DataFrame, rules: ScreenRules) -> Column:
     return holds(reduce(and_, tests))
 
 
+# Measures of the impulse and their names in the result.
 IMPULSE_COLUMNS = {
     "close": "impulse_close",
     "high": "impulse_high",

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import merge_rows, sample_id
+from barloom.functions.columns import merge_rows, rename_aliases, sample_id, to_date
 from barloom.operators.dataset import Dataset, build_dataset, check_skip_limit, prepare_labels
 from barloom.operators.features import latest_features
 from barloom.operators.metrics import binary_metrics
@@ -25,10 +25,17 @@ from barloom.operators.quality import (
 )
 from barloom.operators.ranking import intersect_models, latest_asof, sort_by_score
 from barloom.operators.splits import infer_split_method, training_roles
-from barloom.schema import ASOF, FEATURES, SAMPLE, SYMBOL
+from barloom.schema import ASOF, DATE, FEATURES, LABEL_ALIASES, SAMPLE, SYMBOL
 from barloom.session import materialize
 from barloom.sources.readers import read_bars, read_dataset, read_labels
-from barloom.sources.writers import append_experiment, dated_path, write_dataset, write_predictions, write_sequences
+from barloom.sources.writers import (
+    append_experiment,
+    dated_path,
+    write_dataset,
+    write_predictions,
+    write_report,
+    write_sequences,
+)
 
 
 def check_inputs(labels: DataFrame, bars: DataFrame, min_history: int = 80) -> DataFrame:
@@ -36,8 +43,9 @@ def check_inputs(labels: DataFrame, bars: DataFrame, min_history: int = 80) -> D
 
     Symbols with faulty bars count as missing here, where a single-symbol job would stop.
     """
+    labels = rename_aliases(labels, LABEL_ALIASES)
     raise_unless_ok(validate_labels(labels, require_sample_id=False), "label check")
-    return alignment_counts(label_alignment(prepare_labels(labels), keep_sound_symbols(bars), min_history))
+    return alignment_counts(label_alignment(prepare_labels(labels, keep_unnamed=True), keep_sound_symbols(bars), min_history))
 
 
 def run_build(
@@ -56,11 +64,12 @@ def run_build(
     **split: float | int,
 ) -> dict[str, object]:
     """Read, check, build and write a dataset; returns the paths and the counts."""
-    labels = read_labels(spark, labels_path)
+    labels = rename_aliases(read_labels(spark, labels_path), LABEL_ALIASES)
     bars = normalize_bars(read_bars(spark, bars_path), units, duplicate_policy)
     if precheck:
         raise_unless_ok(check_inputs(labels, bars, min_history), "data precheck")
     raise_unless_ok(validate_labels(labels, require_sample_id=False), "label check")
+    bars = materialize(bars, "bars")  # precheck, samples and sequences read them
     built: Dataset = build_dataset(labels, bars, window_size, min_history, split_method, save_sequence, **split)
     check_skip_limit(built.report, max_skip_ratio)
     paths = {"samples": f"{output}/samples"}
@@ -120,14 +129,22 @@ def run_training(
     name: str = "logistic_regression",
     threshold: float = 0.5,
     experiments: str | None = None,
+    split_method: str | None = None,
+    facts: dict[str, str] | None = None,
     **params: object,
 ) -> Training:
+    """Train, write model and predictions, and log the run.
+
+    `split_method` is the configured one, logged before one inferred from the rows; `facts` fill further
+    columns of the log, such as the data set's name and the paths of the configuration.
+    """
     samples = read_dataset(spark, dataset_path)
     result = train_and_validate(samples, name, threshold, **params)
     save_model(result.model, f"{output}/model")
     write_predictions(result.predictions, f"{output}/valid_predictions")
     if experiments:
-        row = experiment_row(samples, result.metrics, model_name=name, model_output_dir=output)
+        known = {"model_name": name, "model_output_dir": output, **(facts or {})}
+        row = experiment_row(samples, result.metrics, split_method, **known)
         append_experiment(row, experiments)
     return result
 
@@ -137,6 +154,19 @@ def scan_features(bars: DataFrame, window_size: int = 120, min_history: int = 16
     return latest_features(bars, window_size, min_history).withColumn(SAMPLE, sample_id())
 
 
+def scan_skips(bars: DataFrame, window_size: int = 120, min_history: int = 160, duplicate_policy: str = "raise") -> DataFrame:
+    """Symbols that a scan of these bars leaves out, each with its first reason that applies."""
+    dated = bars.withColumn(DATE, to_date(DATE, bars.schema[DATE].dataType))
+    counts = dated.groupBy(SYMBOL, DATE).agg(F.count("*").alias("_copies")).groupBy(SYMBOL).agg(
+        F.count(DATE).alias("num_dates"), F.max(F.when(F.col(DATE).isNotNull(), F.col("_copies"))).alias("_worst")
+    )
+    reason = F.when(F.col("num_dates") == 0, "no_valid_date")
+    if duplicate_policy == "raise":
+        reason = reason.when(F.col("_worst") > 1, "duplicate_dates")
+    reason = reason.when(F.col("num_dates") < max(window_size, min_history), "insufficient_history")
+    return counts.select(SYMBOL, "num_dates", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def scan(model: PipelineModel, features: DataFrame) -> DataFrame:
     return sort_by_score(score(model, features).select(SAMPLE, SYMBOL, ASOF, "score"))
 
@@ -149,9 +179,17 @@ def run_scan(
     window_size: int = 120,
     min_history: int = 160,
     units: BarUnits = SOURCE_UNITS,
+    duplicate_policy: str = "raise",
+    skips: str | None = None,
 ) -> DataFrame:
-    bars = normalize_bars(read_bars(spark, bars_path), units)
-    found = materialize(scan(load_model(model_path), scan_features(bars, window_size, min_history)), "scan")
+    """Score the latest window of every symbol and write it; symbols left out go to `skips` with the reason."""
+    raw = read_bars(spark, bars_path)
+    if skips:
+        write_report(scan_skips(raw, window_size, min_history, duplicate_policy), skips)
+    bars = normalize_bars(raw, units, duplicate_policy)
+    features = scan_features(bars, window_size, min_history)
+    scored = score(load_model(model_path), features).select(SAMPLE, SYMBOL, ASOF, "score")
+    found = materialize(scored, "scan")
     newest = latest_asof(found).first()["latest_asof_date"]
     if newest is None:
         raise ValueError("no symbol has enough bars to be scored")
@@ -163,3 +201,24 @@ def scan_intersection(models: dict[str, PipelineModel], bars: DataFrame, top_n:
     """Score the same features with every model and rank the candidates they share."""
     features = materialize(scan_features(bars, **window), "scan-features")
     return intersect_models({m: scan(model, features) for m, model in models.items()}, top_n)
+
+
+def run_scan_intersection(
+    spark: SparkSession,
+    bars_path: str,
+    model_paths: dict[str, str],
+    output: str,
+    top_n: int = 200,
+    units: BarUnits = SOURCE_UNITS,
+    duplicate_policy: str = "raise",
+    **window: int,
+) -> DataFrame:
+    """Scan with several saved models and write the candidates they share, dated by the newest window."""
+    bars = normalize_bars(read_bars(spark, bars_path), units, duplicate_policy)
+    models = {name: load_model(path) for name, path in model_paths.items()}
+    found = materialize(scan_intersection(models, bars, top_n, **window), "intersection")
+    newest = latest_asof(found).first()["latest_asof_date"]
+    if newest is None:
+        raise ValueError("the models share no candidate")
+    write_predictions(found, dated_path(output, str(newest)), "score_mean")
+    return found.orderBy(F.desc("score_mean"), F.desc("score_min"), F.asc("rank_sum"), SAMPLE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.schema import ASOF, DATE, EXPERIMENT_SUMMARY, SYMBOL
+from barloom.schema import ASOF, DATE, EXPERIMENT_SUMMARY, SAMPLE, SYMBOL
 
 
 def write_bars(bars: DataFrame, path: str, files: int | None = None) -> None:
@@ -29,10 +29,12 @@ def write_sequences(sequences: DataFrame, path: str) -> None:
     sequences.write.mode("overwrite").parquet(path)
 
 
-def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Predictions as CSV; those of a scan go into folders named by their as-of date."""
+def write_predictions(predictions: DataFrame, path: str, score: str = "score") -> None:
+    """Predictions as CSV; those of a scan go into folders named by their as-of date, best score first in a file."""
     if ASOF in predictions.columns and "y_true" not in predictions.columns:
         spread = predictions.hint("rebalance", ASOF)
+        if score in predictions.columns:
+            spread = spread.sortWithinPartitions(ASOF, F.desc_nulls_last(score), SAMPLE)
         spread.write.mode("overwrite").option("header", True).partitionBy(ASOF).csv(path)
     else:
         predictions.write.mode("overwrite").option("header", True).csv(path)

@@ -15,60 +15,89 @@ from barloom.sources import readers
 from test_windows import random_bars
 
 
-def linear_bars(n=220):
-    close = 10 + np.linspace(0, 1, n)
-    vol = np.full(n, 120000.0)
+def cycle_bars(days=260, step=0.0):
+    """Prices that swing around 40 with a period of 13 days, volumes around 5,000 with one of 7."""
+    t = np.arange(days)
+    close = 40 + 3 * np.sin(2 * np.pi * t / 13) + step * t
     return pd.DataFrame(
         {
-            "trade_date": pd.date_range("2024-01-01", periods=n, freq="D"),
-            "open": close * 0.999,
-            "high": close * 1.01,
-            "low": close * 0.99,
+            "trade_date": pd.date_range("2021-05-03", periods=days, freq="D"),
+            "open": close - 0.25,
+            "high": close + 0.75,
+            "low": close - 1.0,
             "close": close,
-            "vol": vol,
-            "amount": vol * close,
-            "pct_chg": 0.0,
+            "vol": 5000 + 900 * np.cos(2 * np.pi * t / 7),
+            "amount": 200.0 + t,
         }
     )
 
 
-LABELS = """sample_id,ts_code,asof_date,label,label_source,confidence
-000001.SZ_2024-06-30,000001.SZ,2024-06-30,1,test,1.0
-000002.SZ_2024-06-30,000002.SZ,2024-06-30,0,test,1.0
-"""
+def label_file(rows):
+    return "ts_code,asof_date,label,label_source\n" + "".join(f"{c},{d},{y},hand\n" for c, d, y in rows)
 
 
 @pytest.fixture
 def inputs(tmp_path):
-    (tmp_path / "daily").mkdir()
-    for code in ("000001.SZ", "000002.SZ"):
-        linear_bars().to_parquet(tmp_path / "daily" / f"{code}.parquet", index=False)
-    (tmp_path / "labels.csv").write_text(LABELS)
+    (tmp_path / "bars").mkdir()
+    cycle_bars().to_parquet(tmp_path / "bars" / "UPW.parquet", index=False)
+    cycle_bars(step=0.02).drop(columns="amount").to_parquet(tmp_path / "bars" / "NOA.parquet", index=False)
+    cycle_bars(days=100).to_parquet(tmp_path / "bars" / "NEW.parquet", index=False)
+    (tmp_path / "labels.csv").write_text(
+        label_file([("UPW", "2021-10-04", 0), ("NOA", "2021-11-15", 1), ("UPW", "2021-12-24", 1)])
+    )
     return tmp_path
 
 
+def build(spark, inputs, **options):
+    return jobs.run_build(spark, str(inputs / "labels.csv"), str(inputs / "bars"), str(inputs / "out"), 90, 60, **options)
+
+
 def test_build_from_files(spark, inputs):
-    result = jobs.run_build(spark, str(inputs / "labels.csv"), str(inputs / "daily"), str(inputs / "out"), 120, 80)
-    assert (result["num_samples"], result["num_skipped"]) == (2, 0)
-    rows = readers.read_dataset(spark, result["samples"]).orderBy("sample_id").collect()
-    assert [r.label for r in rows] == [1, 0]
-    assert [str(r.window_end) for r in rows] == ["2024-06-30"] * 2
-    assert [str(r.window_start) for r in rows] == ["2024-03-03"] * 2
+    """One of the files lacks the optional amount, and its symbol is kept."""
+    result = build(spark, inputs)
+    assert (result["num_samples"], result["num_skipped"]) == (3, 0)
+    rows = readers.read_dataset(spark, result["samples"]).orderBy("ts_code", "window_end").collect()
+    assert [(r.ts_code, r.label, str(r.window_start), str(r.window_end)) for r in rows] == [
+        ("NOA", 1, "2021-08-18", "2021-11-15"),
+        ("UPW", 0, "2021-07-07", "2021-10-04"),
+        ("UPW", 1, "2021-09-26", "2021-12-24"),
+    ]
     assert all(np.isfinite(r[f]) for r in rows for f in FEATURES)
-    tensor = spark.read.parquet(result["sequences"]).collect()
-    assert len(tensor) == 2 and np.array(tensor[0].x_sequence).shape == (120, 5)
+    # highest and lowest price of a swing, both inside any window of 90 days
+    for r in rows[1:]:
+        t = np.arange(13)
+        swing = 40 + 3 * np.sin(2 * np.pi * t / 13)
+        assert r.base_range_pct == pytest.approx((swing.max() + 0.75) / (swing.min() - 1.0) - 1)
+    tensors = {r.sample_id: np.array(r.x_sequence) for r in spark.read.parquet(result["sequences"]).collect()}
+    assert len(tensors) == 3 and {x.shape for x in tensors.values()} == {(90, 5)}
 
 
 def test_precheck_stops_the_build(spark, inputs):
     with (inputs / "labels.csv").open("a") as f:
-        f.write("000003.SZ_2024-06-30,000003.SZ,2024-06-30,0,test,1.0\n")
-    args = (spark, str(inputs / "labels.csv"), str(inputs / "daily"), str(inputs / "out"), 120, 80)
-    with pytest.raises(ValueError, match="missing_daily_file=1"):
-        jobs.run_build(*args)
+        f.write("GONE,2021-10-04,0,hand\n,2021-10-04,1,hand\n")
+    with pytest.raises(ValueError, match="missing_daily_file=2"):
+        build(spark, inputs)
     with pytest.raises(RuntimeError, match="skip ratio"):
-        jobs.run_build(*args, precheck=False, max_skip_ratio=0.2)
+        build(spark, inputs, precheck=False, max_skip_ratio=0.2)
     assert not (inputs / "out").exists()  # the limit is checked before anything is written
-    assert jobs.run_build(*args, precheck=False, max_skip_ratio=0.5, save_sequence=False)["num_skipped"] == 1
+    assert build(spark, inputs, precheck=False, max_skip_ratio=0.5, save_sequence=False)["num_skipped"] == 1
+
+
+def test_build_with_other_label_names(spark, inputs):
+    text = (inputs / "labels.csv").read_text().replace("ts_code,asof_date", "ts_code,trade_date")
+    (inputs / "labels.csv").write_text(text)
+    assert build(spark, inputs, save_sequence=False)["num_samples"] == 3
+
+
+def test_scan_skips_have_a_reason(spark):
+    frames = [cycle_bars().assign(ts_code="GOOD"), cycle_bars(days=30).assign(ts_code="YOUNG")]
+    twice = cycle_bars().assign(ts_code="TWICE")
+    frames.append(pd.concat([twice, twice.iloc[[5]]]))
+    bars = spark.createDataFrame(pd.concat(frames))
+    undated = bars.where("ts_code = 'YOUNG'").limit(2).withColumns({"ts_code": F.lit("UNDATED"), "trade_date": F.lit(None).cast("timestamp")})
+    skips = lambda policy: {r.ts_code: r.reason for r in jobs.scan_skips(bars.unionByName(undated), 120, 160, policy).collect()}
+    rest = {"YOUNG": "insufficient_history", "UNDATED": "no_valid_date"}
+    assert skips("raise") == {**rest, "TWICE": "duplicate_dates"} and skips("last") == rest
 
 
 def universe(spark, symbols=12, days=240):
@@ -129,9 +158,8 @@ def test_logistic_regression_is_at_the_optimum(spark, dataset):
 
 @pytest.mark.parametrize("name", ["logistic_regression", "lightgbm", "xgboost"])
 def test_models_learn_and_repeat(spark, dataset, name):
-    params = {} if name == "logistic_regression" else {"maxIter": 3}
-    first = jobs.train_and_validate(dataset[2], name, **params)
-    again = jobs.train_and_validate(dataset[2], name, **params)
+    first = jobs.train_and_validate(dataset[2], name)
+    again = jobs.train_and_validate(dataset[2], name)
     order = lambda t: [tuple(r) for r in t.predictions.orderBy("sample_id").collect()]
     assert order(first) == order(again)
     assert first.metrics.first().auc > 0.7
@@ -154,7 +182,8 @@ def test_predictor_guards(spark, dataset):
     with pytest.raises(ValueError, match="missing feature"):
         m.score(model, train.drop("volatility_20"))
     turned = train.select(*reversed(FEATURES))
-    assert m.predict_proba(model, turned).count() == train.count()
+    scored = m.predict_proba(model, turned)
+    assert scored.count() == train.count() and scored.columns == [*FEATURES, "score"]
 
 
 def test_constant_feature_scales_to_zero(spark):
@@ -175,6 +204,9 @@ def test_train_scan_and_log(spark, dataset, tmp_path):
     found = jobs.run_scan(spark, str(tmp_path / "bars"), str(tmp_path / "lr/model"), str(tmp_path / "scan.csv"), 120, 160, CONTRACT_UNITS)
     scores = [r.score for r in found.collect()]
     assert len(scores) == 12 and scores == sorted(scores, reverse=True)
+    lines = [x for p in sorted(tmp_path.glob("scan_*/asof_date=*/*.csv")) for x in p.read_text().splitlines()[1:]]
+    written = [float(x.rpartition(",")[2]) for x in lines]
+    assert written == sorted(written, reverse=True)
     dated = [p.name for p in tmp_path.iterdir() if p.name.startswith("scan_")]
     assert dated == ["scan_2024-08-27.csv"]
     again = readers.read_predictions(spark, str(tmp_path / dated[0]))
@@ -183,7 +215,7 @@ def test_train_scan_and_log(spark, dataset, tmp_path):
 
 def test_two_model_scan(spark, dataset):
     train = dataset[2].where("split = 'train'")
-    models = {"lgbm": m.train_model(train, "lightgbm", maxIter=2), "lr": m.train_model(train)}
+    models = {"lgbm": m.train_model(train, "lightgbm"), "lr": m.train_model(train)}
     rows = jobs.scan_intersection(models, dataset[0], 5, window_size=120, min_history=160).collect()
     assert len(rows) == 5
     assert all(r.score_min <= r.score_mean and r.rank_sum == r.rank_lgbm + r.rank_lr for r in rows)

@@ -1,4 +1,6 @@
-"""The screener against a symbol-by-symbol computation."""
+"""The screener on staged symbols with known results, and on a random universe."""
+
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -59,58 +61,65 @@ def to_spark(spark, frame):
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def expected_leg(bars, rules):
-    """(impulse row, first-leg high, pullback length, measures) of one symbol, or None."""
-    start, end = (pd.Timestamp(d).date() for d in (rules.start_date, rules.end_date))
-    d = bars[(bars.trade_date >= start) & (bars.trade_date <= end)].reset_index(drop=True)
-    if len(d) < rules.min_bars:
-        return None
-    found = None
-    for i in range(len(d) - rules.impulse_lookback, len(d)):
-        if i < rules.base_lookback:
-            continue
-        base, row = d.iloc[i - 100 : i], d.iloc[i]
-        recent = base.vol.tail(20).mean()
-        wide = row.ts_code.startswith(("300", "688"))
-        conditions = [
-            base.high.max() / (base.low.min() + 1e-9) - 1 <= rules.base_max_range_pct,
-            base.vol.std() / (base.vol.mean() + 1e-9) <= rules.base_max_vol_cv,
-            recent / (base.vol.mean() + 1e-9) <= rules.base_vol_shrink_ratio_max,
-            row.pct_chg >= rules.min_impulse_pct * 100 or row.pct_chg >= (19.0 if wide else 9.5),
-            row.vol / (recent + 1e-9) >= rules.min_impulse_vol_ratio,
-            np.isnan(row.turnover_rate) or row.turnover_rate >= rules.min_turnover_rate,
-            row.close > d.iloc[max(0, i - 90) : i].high.max() * rules.breakout_factor,
-        ]
-        if all(conditions):
-            found = i
-    if found is None:
-        return None
-    leg = d.iloc[found:]
-    top = leg.high.idxmax()
-    return {
-        "impulse_date": d.trade_date[found],
-        "days_after_impulse": len(d) - 1 - found,
-        "first_leg_high": leg.high.max(),
-        "pullback_days": len(d) - 1 - top,
-        "pullback_mean_vol": d.iloc[top + 1 :].vol.mean(),
-        "ma10": d.close.tail(10).mean(),
-        "close": d.close.iloc[-1],
-    }
+def staged(days, changes, code="600777"):
+    """A quiet symbol: close 10, high 10.2, low 9.9, volume 80 or 120; `changes` by day from the end (0 is the last)."""
+    rows = []
+    for age in reversed(range(days)):
+        bar = {"close": 10.0, "high": 10.2, "low": 9.9, "vol": 80.0 + 40 * (age % 2), "pct_chg": 0.0, "turnover_rate": 4.0}
+        date = (pd.Timestamp("2024-08-30") - pd.Timedelta(days=age)).date()
+        rows.append({"ts_code": code, "trade_date": date, **bar, **changes.get(age, {})})
+    return pd.DataFrame(rows)
 
 
-def test_legs_match_the_symbol_by_symbol_search(spark):
-    frame = universe()
-    got = {r.ts_code: r for r in s.pullback_legs(to_spark(spark, frame), RULES).collect()}
-    want = {k: leg for k, b in frame.groupby("ts_code") if (leg := expected_leg(b, RULES))}
-    assert set(got) == set(want) and len(want) >= 5
-    for code, leg in want.items():
-        for name, value in leg.items():
-            if isinstance(value, float) and np.isnan(value):
-                assert got[code][name] is None
-            elif isinstance(value, float):
-                assert got[code][name] == pytest.approx(value), (code, name)
-            else:
-                assert got[code][name] == value, (code, name)
+#: A break-out 6 days before the last bar, its high a day later, then four falling bars on low volume.
+STAGE = {
+    6: {"close": 11.0, "high": 11.1, "low": 10.1, "vol": 400.0, "pct_chg": 10.0},
+    5: {"close": 11.4, "high": 11.5, "low": 11.0, "vol": 300.0, "pct_chg": 3.6},
+    **{k: {"close": 10.9 + 0.05 * k, "high": 11.2, "low": 10.7, "vol": 60.0, "pct_chg": -0.5} for k in range(5)},
+}
+STAGE_RULES = s.ScreenRules(start_date="2023-01-01", end_date="2024-08-30", base_vol_shrink_ratio_max=1.01)
+
+
+def test_a_staged_leg(spark):
+    leg = s.pullback_legs(to_spark(spark, staged(200, STAGE)), STAGE_RULES).first()
+    assert str(leg.impulse_date) == "2024-08-24" and leg.days_after_impulse == 6
+    assert (leg.impulse_close, leg.impulse_vol, leg.platform_high_before) == (11.0, 400.0, 10.2)
+    assert leg.base_range_pct == pytest.approx(10.2 / 9.9 - 1) and leg.impulse_vol_ratio == pytest.approx(4.0)
+    assert leg.base_vol_cv == pytest.approx(0.2 * np.sqrt(100 / 99))
+    assert (leg.first_leg_high, leg.pullback_days, leg.pullback_mean_vol) == (11.5, 5, 60.0)
+    assert leg.ma10 == pytest.approx((3 * 10 + 11.0 + 11.4 + sum(10.9 + 0.05 * k for k in range(5))) / 10)
+
+
+def test_one_more_quiet_bar_moves_every_age(spark):
+    later = {age + 1: bar for age, bar in STAGE.items()} | {0: STAGE[0]}
+    both = to_spark(spark, pd.concat([staged(200, STAGE, "600001"), staged(200, later, "600002")]))
+    a, b = s.pullback_legs(both, STAGE_RULES).orderBy("ts_code").collect()
+    assert (b.days_after_impulse, b.pullback_days) == (a.days_after_impulse + 1, a.pullback_days + 1)
+    assert (b.first_leg_high, b.impulse_close, b.platform_high_before) == (a.first_leg_high, a.impulse_close, a.platform_high_before)
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"vol": 150.0}, {"pct_chg": 6.0}, {"turnover_rate": 2.9}, {"close": 9.9}],
+)
+def test_one_missing_condition_is_no_impulse(spark, change):
+    weak = {**STAGE, 6: {**STAGE[6], **change}, 5: {**STAGE[5], "vol": 90.0}}
+    assert s.impulse_candidates(to_spark(spark, staged(200, weak)), STAGE_RULES).isEmpty()
+
+
+def test_the_platform_reaches_as_far_back_as_its_rule(spark):
+    """A high of 11.4 lies 250 bars back, outside the base but inside a long break-out rule."""
+    bars = to_spark(spark, staged(330, {**STAGE, 256: {"high": 11.4}}))
+    near = s.impulse_candidates(bars, STAGE_RULES).first()
+    far = s.impulse_candidates(bars, replace(STAGE_RULES, breakout_lookback=295, breakout_factor=0.9)).collect()
+    assert near.platform_high_before == 10.2
+    assert [r.platform_high_before for r in far if str(r.impulse_date) == "2024-08-24"] == [11.4]
+
+
+def test_a_short_base_still_has_its_averages(spark):
+    rules = replace(STAGE_RULES, base_lookback=10, impulse_lookback=7)
+    leg = s.pullback_legs(to_spark(spark, staged(200, STAGE)), rules).first()
+    assert leg.ma20 is not None and leg.impulse_vol_ratio == pytest.approx(4.0)
 
 
 def test_detection_keeps_only_unrejected_legs(spark):
@@ -163,4 +172,5 @@ def test_limit_by_code_range(spark):
 def test_screen_is_one_shuffle_per_pass(spark):
     bars = to_spark(spark, universe(3))
     plan = s.pullback_legs(bars, RULES)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    # the tails and the counts, both by symbol; histories are cut before the exchange
+    assert plan.count("Exchange") == 2 and "WindowGroupLimit" in plan
