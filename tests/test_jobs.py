@@ -156,15 +156,25 @@ def test_logistic_regression_is_at_the_optimum(spark, dataset):
     assert np.abs(gradient).max() < 1e-4 and abs((p - raw.label.to_numpy()).sum()) < 1e-4
 
 
-@pytest.mark.parametrize("name", ["logistic_regression", "lightgbm", "xgboost"])
-def test_models_learn_and_repeat(spark, dataset, name):
-    first = jobs.train_and_validate(dataset[2], name)
-    again = jobs.train_and_validate(dataset[2], name)
+def test_logistic_regression_repeats(spark, dataset):
+    first, again = (jobs.train_and_validate(dataset[2], "logistic_regression") for _ in range(2))
     order = lambda t: [tuple(r) for r in t.predictions.orderBy("sample_id").collect()]
-    assert order(first) == order(again)
-    assert first.metrics.first().auc > 0.7
-    assert roc_auc(first.predictions).first().auc == pytest.approx(first.metrics.first().auc)
-    assert set(first.predictions.columns) == {"sample_id", "y_true", "y_score", "y_pred"}
+    assert order(first) == order(again) and first.metrics.first().auc > 0.7
+
+
+@pytest.fixture(scope="module")
+def trees(spark, dataset):
+    """Both boosted configurations as they are, each fitted once."""
+    return {name: jobs.train_and_validate(dataset[2], name) for name in ("lightgbm", "xgboost")}
+
+
+@pytest.mark.parametrize("name", ["lightgbm", "xgboost"])
+def test_configured_trees_learn(spark, trees, name):
+    found = trees[name]
+    assert len(found.model.stages[-1].trees) == 200
+    assert found.metrics.first().auc > 0.7
+    assert roc_auc(found.predictions).first().auc == pytest.approx(found.metrics.first().auc)
+    assert set(found.predictions.columns) == {"sample_id", "y_true", "y_score", "y_pred"}
 
 
 def test_unknown_model(spark, dataset):
@@ -213,15 +223,26 @@ def test_train_scan_and_log(spark, dataset, tmp_path):
     assert again.count() == 12 and "asof_date" in again.columns
 
 
-def test_two_model_scan(spark, dataset):
-    train = dataset[2].where("split = 'train'")
-    models = {"lgbm": m.train_model(train, "lightgbm"), "lr": m.train_model(train)}
+def test_two_model_scan(spark, dataset, trees):
+    models = {"lgbm": trees["lightgbm"].model, "xgb": trees["xgboost"].model}
     rows = jobs.scan_intersection(models, dataset[0], 5, window_size=120, min_history=160).collect()
     assert len(rows) == 5
-    assert all(r.score_min <= r.score_mean and r.rank_sum == r.rank_lgbm + r.rank_lr for r in rows)
+    assert all(r.score_min <= r.score_mean and r.rank_sum == r.rank_lgbm + r.rank_xgb for r in rows)
     assert [r.score_mean for r in rows] == sorted((r.score_mean for r in rows), reverse=True)
 
 
+def test_intersection_job_writes_or_complains(spark, dataset, tmp_path):
+    train = dataset[2].where("split = 'train'")
+    m.save_model(m.train_model(train), str(tmp_path / "lr"))
+    paths = {"a": str(tmp_path / "lr"), "b": str(tmp_path / "lr")}
+    dataset[0].write.parquet(str(tmp_path / "bars"))
+    args = (spark, str(tmp_path / "bars"), paths, str(tmp_path / "both.csv"), 7, CONTRACT_UNITS)
+    assert jobs.run_scan_intersection(*args).count() == 7
+    assert [p.name for p in tmp_path.glob("both_*")] == ["both_2024-08-27.csv"]
+    with pytest.raises(ValueError, match="share no candidate"):
+        jobs.run_scan_intersection(*args, min_history=1000)
+
+
 def test_reports(spark, dataset, tmp_path):
     from barloom.plans import reports
 
