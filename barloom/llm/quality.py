@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import bounded_sample
-from barloom.llm.classify import fit_logistic
+from barloom.llm.classify import Logistic, fit_logistic
 from barloom.session import materialize
 
 FEATURES = [
@@ -101,6 +101,43 @@ def site_posteriors(rows: DataFrame) -> DataFrame:
     )
 
 
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, fit_rows: int = 20_000
+) -> tuple[Logistic, DataFrame, DataFrame]:
+    """The document classifier, every document's evidence (doc_id, host, path, evidence), and the sites.
+
+    The classifier reads the shape of the whole text and is fitted on at most `fit_rows` labelled rows chosen
+    by hash. The evidence of all documents is summed by site; see `site_posteriors`.
+    """
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("doc_id", "text").alias("row_key"),
+        host.cast("string").alias("host"),
+        path.cast("string").alias("path"),
+        "text",
+    )
+    schema = "doc_id long, row_key long, host string, path string, features array<double>"
+    shaped = materialize(rows.mapInPandas(_featured, schema), "shaped")
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality"))
+    labelled = materialize(shaped.join(known, "doc_id").select("row_key", "features", "quality"), "labelled")
+    sample = sorted(bounded_sample(labelled, fit_rows, "row_key").collect())
+    x = np.array([r["features"] for r in sample], dtype=float).reshape(-1, len(FEATURES))
+    model = fit_logistic(x, np.array([r["quality"] for r in sample], dtype=float))
+
+    @F.pandas_udf("double")
+    def judge(features: pd.Series) -> pd.Series:
+        return pd.Series(model.probability(np.stack(features.to_numpy())) if len(features) else np.zeros(0))
+
+    judged = materialize(shaped.withColumn("evidence", judge("features")).drop("features"), "judged")
+    return model, judged, site_posteriors(judged)
+
+
+def combined(evidence: Column, posterior: Column, rate: Column, site_weight: float) -> Column:
+    """The document's log odds plus what its site says beyond the global rate, as a probability."""
+    bounded = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+    return 1 / (1 + F.exp(-(logit(bounded(evidence)) + site_weight * (logit(bounded(posterior)) - logit(bounded(rate))))))
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -112,11 +149,9 @@ def quality_scores(
 ) -> DataFrame:
     """Score every document of `docs` (doc_id, text, ...); `labels` has doc_id and quality (0 or 1).
 
-    A logistic classifier over the shape of the whole text, fitted on at most `fit_rows` labelled rows chosen
-    by hash, gives each document's evidence. The evidence of all documents is summed by site, and host and
-    path posteriors shrink sparse sites toward the host and the global rate. The score adds to the document's
-    log odds `site_weight` times what its site says beyond the global rate. Returns doc_id, `row_key` (of id
-    and text), host, path, evidence, host_posterior, site_posterior, score and accepted (score >= threshold).
+    Sites are `source` and, as their paths, `lang` unless columns are given. The score adds to the document's
+    log odds (`fit_quality`) `site_weight` times what its site says beyond the global rate. Returns doc_id,
+    host, path, evidence, host_posterior, site_posterior, score and accepted (score >= threshold).
 
     A null text counts as empty; an empty one has shape 0 and is judged like others. Null hosts and paths are
     sites of their own. Labels of unknown, null or repeated ids count where they match. Without labels the
@@ -124,41 +159,44 @@ def quality_scores(
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    key = F.xxhash64("doc_id", "text").alias("row_key")
-    rows = docs.select("doc_id", key, host.cast("string").alias("host"), path.cast("string").alias("path"), "text")
-    schema = "doc_id long, row_key long, host string, path string, features array<double>"
-    shaped = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(_featured, schema), "shaped")
-    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality"))
-    labelled = materialize(shaped.join(known, "doc_id").select("row_key", "features", "quality"), "labelled")
-    sample = sorted(bounded_sample(labelled, fit_rows, "row_key").collect())
-    x = np.array([r["features"] for r in sample], dtype=float).reshape(-1, len(FEATURES))
-    model = fit_logistic(x, np.array([r["quality"] for r in sample], dtype=float))
-
-    @F.pandas_udf("double")
-    def judge(features: pd.Series) -> pd.Series:
-        return pd.Series(model.probability(np.stack(features.to_numpy())) if len(features) else np.zeros(0))
-
-    judged = materialize(shaped.withColumn("evidence", judge("features")).drop("features"), "judged")
-    sites = site_posteriors(judged)
+    _, judged, sites = fit_quality(docs, labels, host, path, fit_rows)
     sites = sites.withColumnsRenamed({"host": "_host", "path": "_path"})
     match = judged["host"].eqNullSafe(sites["_host"]) & judged["path"].eqNullSafe(sites["_path"])
-    bounded = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    beyond = logit(bounded(F.col("posterior"))) - logit(bounded(F.col("global_rate")))
-    log_odds = logit(bounded(F.col("evidence"))) + site_weight * beyond
     return (
         judged.join(sites, match)
-        .withColumn("score", 1 / (1 + F.exp(-log_odds)))
+        .withColumn("score", combined(F.col("evidence"), F.col("posterior"), F.col("global_rate"), site_weight))
         .select(
-            "doc_id", "row_key", "host", "path", "evidence", "host_posterior",
+            "doc_id", "host", "path", "evidence", "host_posterior",
             F.col("posterior").alias("site_posterior"), "score", (F.col("score") >= threshold).alias("accepted"),
         )
     )
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of `docs` whose (doc_id, text) is not among the `row_key`s of `rejected`."""
-    return (
-        docs.withColumn("__row_key", F.xxhash64("doc_id", "text"))
-        .join(rejected.select(F.col("row_key").alias("__row_key")), "__row_key", "left_anti")
-        .drop("__row_key")
-    )
+def accepted_rows(
+    docs: DataFrame,
+    labels: DataFrame,
+    host: Column | None = None,
+    path: Column | None = None,
+    fit_rows: int = 20_000,
+    site_weight: float = 0.5,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """The rows of `docs` that `quality_scores` accepts, judged where they are read; only sites are joined.
+
+    The sites come from a written table, so Spark broadcasts them where they are few and else splits hot ones.
+    """
+    host = F.col("source") if host is None else host
+    path = F.col("lang") if path is None else path
+    model, _, sites = fit_quality(docs, labels, host, path, fit_rows)
+
+    @F.pandas_udf("double")
+    def judge(text: pd.Series) -> pd.Series:
+        x = np.array([text_features(t or "") for t in text.tolist()], dtype=float).reshape(-1, len(FEATURES))
+        return pd.Series(model.probability(x))
+
+    names = ["__quality_host", "__quality_path", "__quality_evidence"]
+    rows = docs.withColumns(dict(zip(names, [host.cast("string"), path.cast("string"), judge("text")])))
+    sites = sites.withColumnsRenamed({c: f"__site_{c}" for c in sites.columns})
+    match = rows[names[0]].eqNullSafe(sites["__site_host"]) & rows[names[1]].eqNullSafe(sites["__site_path"])
+    score = combined(F.col(names[2]), F.col("__site_posterior"), F.col("__site_global_rate"), site_weight)
+    return rows.join(sites, match).where(score >= threshold).select(*[rows[f"`{c}`"] for c in docs.columns])

@@ -108,7 +108,7 @@ def fingerprinted(spark, sf_dir):
 def quality(spark, sf_dir):
     from barloom.llm.quality import quality_scores
 
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query("op4_weak_supervision")

@@ -226,24 +226,14 @@ def _voted(voters: Voters):
     return run
 
 
-def toxicity_scores(
-    docs: DataFrame,
-    labels: DataFrame,
-    learn_from: Column | None = None,
-    fit_rows: int = 20_000,
-    threshold: float = 0.3,
-) -> DataFrame:
-    """Score every document of `docs` (doc_id, text); `labels` has doc_id and toxic (0 or 1).
-
-    Labels are read only where `learn_from`, a column over doc_id, holds. Voters are lexicons, cues mined from
-    at most `fit_rows` labelled rows, and a pattern (a cue beside a word of address). The votes on all rows,
-    counted by distinct pattern, fit a generative model of the voters' accuracies and correlations; a linear
-    classifier learns its posteriors on at most `fit_rows` rows and scores all. Inputs of a score are the
-    text's words only. Returns doc_id, row_key (of id and text), posterior, score and predicted.
-
-    Null texts count as empty, which get no votes and the score of texts without cues. Repeated rows are rows
-    each; repeated labels count each. Without labels only the lexicons and the pattern vote. Other columns
-    are ignored; no rows give no rows.
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, fit_rows: int = 20_000
+) -> tuple[ToxicityModel, DataFrame]:
+    """The model, and the votes on every document: doc_id, row_key (of id and text), hits per voter, words.
+
+    Voters are lexicons, cues mined from at most `fit_rows` labelled rows, and patterns. The votes on all
+    rows, counted by distinct pattern, fit a generative model of the voters' accuracies and correlations; a
+    linear classifier learns its posteriors on at most `fit_rows` rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -254,8 +244,7 @@ def toxicity_scores(
     sample = materialize(rows.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"), "sample")
     voters = build_voters(mine_cues(sample))
 
-    schema = "doc_id long, row_key long, hits array<int>, words int"
-    voted = materialize(rows.mapInPandas(_voted(voters), schema), "votes")
+    voted = materialize(rows.mapInPandas(_voted(voters), "doc_id long, row_key long, hits array<int>, words int"), "votes")
     pattern = F.transform("hits", lambda x: (x > 0).cast("int"))
     marked = voted.join(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", "left")
     patterns = marked.groupBy(pattern.alias("votes"), F.coalesce("toxic", F.lit(-1)).alias("known")).agg(F.count("*").alias("n")).collect()
@@ -267,14 +256,53 @@ def toxicity_scores(
     hits = np.array([r["hits"] for r in taught], dtype=float).reshape(-1, len(VOTERS))
     words = np.array([r["words"] for r in taught], dtype=float)
     classifier = fit_logistic(vote_features(hits, words), model.posterior((hits > 0).astype(float)))
+    return ToxicityModel(voters, model, classifier), voted
+
+
+def toxicity_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    learn_from: Column | None = None,
+    fit_rows: int = 20_000,
+    threshold: float = 0.3,
+) -> DataFrame:
+    """Score every document of `docs` (doc_id, text); `labels` has doc_id and toxic (0 or 1).
+
+    Labels are read only where `learn_from`, a column over doc_id, holds; see `fit_toxicity`. Inputs of a score
+    are the text's words only. Returns doc_id, posterior, score and predicted (score >= threshold).
+
+    Null texts count as empty, which get no votes and the score of texts without cues. Repeated rows are rows
+    each; repeated labels count each. Without labels only the lexicons and the pattern vote. Other columns
+    are ignored; no rows give no rows.
+    """
+    model, voted = fit_toxicity(docs, labels, learn_from, fit_rows)
 
     @F.pandas_udf("posterior double, score double")
     def judge(hits: pd.Series, words: pd.Series) -> pd.DataFrame:
         h = np.stack(hits.to_numpy()).astype(float) if len(hits) else np.zeros((0, len(VOTERS)))
         return pd.DataFrame(
-            {"posterior": model.posterior((h > 0).astype(float)), "score": classifier.probability(vote_features(h, words.to_numpy(float)))}
+            {
+                "posterior": model.labels.posterior((h > 0).astype(float)),
+                "score": model.classifier.probability(vote_features(h, words.to_numpy(float))),
+            }
         )
 
     return voted.withColumn("_j", judge("hits", "words")).select(
-        "doc_id", "row_key", "_j.posterior", "_j.score", (F.col("_j.score") >= threshold).cast("int").alias("predicted")
+        "doc_id", "_j.posterior", "_j.score", (F.col("_j.score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, fit_rows: int = 20_000, threshold: float = 0.3
+) -> DataFrame:
+    """The rows of `docs` that `toxicity_scores` does not call toxic, judged where they are read: no exchange."""
+    model, _ = fit_toxicity(docs, labels, learn_from, fit_rows)
+
+    @F.pandas_udf("double")
+    def judge(text: pd.Series) -> pd.Series:
+        lookup = votes_of_word(model.voters)
+        counted = [count_votes(t or "", lookup) for t in text.tolist()]
+        hits = np.array([h for h, _ in counted], dtype=float).reshape(-1, len(VOTERS))
+        return pd.Series(model.classifier.probability(vote_features(hits, np.array([n for _, n in counted], dtype=float))))
+
+    return docs.where(judge("text") < threshold)

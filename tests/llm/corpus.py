@@ -27,8 +27,8 @@ def stored(spark, folder, rows, schema, name="documents"):
 
 
 #: Columns that clash with names used inside; every operator must leave them alone or carry them.
-EXTRA = "row long, pos long, block long, key string, score double, hits int, _row long, shard string"
-EXTRA_VALUES = (7, 7, 7, "k", 0.5, 1, 7, "s")
+EXTRA = "row long, pos long, block long, key string, score double, hits int, _row long, shard string, posterior double"
+EXTRA_VALUES = (7, 7, 7, "k", 0.5, 1, 7, "s", 0.1)
 
 EDGES = [
     (1, prose(1, 60), "en", "a"),

@@ -10,10 +10,10 @@ from barloom.llm.language_model import lm_scores
 from barloom.llm.near_dup import near_duplicates, one_of_each
 from barloom.llm.neighbours import edited
 from barloom.llm.packing import pack
-from barloom.llm.quality import quality_scores, without
+from barloom.llm.quality import accepted_rows, quality_scores
 from barloom.llm.sharding import shard
 from barloom.llm.token_output import read_token_shards, write_token_shards
-from barloom.llm.toxicity import toxicity_scores
+from barloom.llm.toxicity import toxicity_scores, without_toxic
 from barloom.llm.url_filter import judge_urls
 
 N = len(EDGES)
@@ -34,7 +34,7 @@ def test_quality(tables, labels):
     scores = quality_scores(tables[0], labels)
     assert scores.count() == N and scores.where("score is null or accepted is null").isEmpty()
     assert scores.where("doc_id = 1").select("score").distinct().count() == 1
-    kept = without(tables[0], scores.where("not accepted"))
+    kept = accepted_rows(tables[0], labels)
     assert kept.columns == tables[0].columns and kept.count() == scores.where("accepted").count()
     assert quality_scores(tables[1], labels).isEmpty()
 
@@ -42,6 +42,8 @@ def test_quality(tables, labels):
 def test_toxicity(tables, labels):
     scores = toxicity_scores(tables[0], labels, fold("doc_id", 4) != 2)
     assert scores.count() == N and scores.where("score is null or score < 0 or score > 1").isEmpty()
+    kept = without_toxic(tables[0], labels, fold("doc_id", 4) != 2)
+    assert kept.columns == tables[0].columns and kept.count() == scores.where("predicted = 0").count()
     assert toxicity_scores(tables[1], labels).isEmpty()
     assert toxicity_scores(tables[0], labels.limit(0)).count() == N
 
