@@ -86,4 +86,5 @@ def likeness(a: str, b: str) -> Column:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     size = norm(left) * norm(right)
     cosine = F.when(size > 0, dot / size).otherwise(0.0)
-    return F.when(as_text(a) == as_text(b), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
+    whole = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in [*LANE_NAMES, *WORD_NAMES, "units"]])
+    return F.when(whole(a) == whole(b), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))

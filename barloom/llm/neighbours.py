@@ -10,7 +10,7 @@ from barloom.session import materialize
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """(row, next_row, doc_id, text, edited) for every row of a stored table of documents (doc_id, text).
+    """(row, next_row, next_doc_id, doc_id, text, edited) for every row of a stored table of documents (doc_id, text).
 
     The last floor(n/2) code points of a text give way to as many, or all, of the next document's: the next
     smaller doc_id, null ids last, equal ids by text; after the last comes the first. Places are found on ids
@@ -34,7 +34,11 @@ def edited(docs: DataFrame) -> DataFrame:
     after = placed.select(F.col("row").alias("owner"), "half", ((F.col("pos") + 1) % F.col("rows")).alias("pos"))
     wants = materialize(after.join(placed.select("pos", "row"), "pos").select("owner", "half", "row"), "wants")
     parts = rows.join(wants, "row").select(
-        F.col("owner").alias("row"), F.col("row").alias("next_row"), F.expr("substring(text, 1, half)").alias("_part")
+        F.col("owner").alias("row"),
+        F.col("row").alias("next_row"),
+        # with it both joins read the same columns, so that one exchange of the texts serves both
+        F.col("doc_id").alias("next_doc_id"),
+        F.expr("substring(text, 1, half)").alias("_part"),
     )
     kept = F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))")
-    return rows.join(parts, "row").select("row", "next_row", "doc_id", "text", F.concat(kept, "_part").alias("edited"))
+    return rows.join(parts, "row").select("row", "next_row", "next_doc_id", "doc_id", "text", F.concat(kept, "_part").alias("edited"))

@@ -83,10 +83,10 @@ def fingerprinted(spark, sf_dir):
     from barloom.session import materialize
 
     rows = edited(table(spark, sf_dir, "documents")).select(
-        "row", "next_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "row", "next_row", "next_doc_id", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.col("text").alias("t")), F.struct(F.lit("b").alias("kind"), F.col("edited").alias("t")))).alias("v"),
     )
-    about = ["row", "next_row", "doc_id", "n_chars", "edited_sha256", "kind"]
+    about = ["row", "next_row", "next_doc_id", "doc_id", "n_chars", "edited_sha256", "kind"]
     both = materialize(fp.fingerprint_rows(rows.select(*about[:-1], "v.kind", "v.t"), about, "t"), "fingerprints")
     own, changed = both.where("kind = 'a'").drop("kind"), both.where("kind = 'b'").drop("kind", *about[1:-1])
     sums = [c for c in both.columns if c not in about]
@@ -101,6 +101,7 @@ def fingerprinted(spark, sf_dir):
         fp.as_text("b_").alias("edited_fingerprint"),
         fp.likeness("a_", "b_").alias("near_edited"),
         fp.likeness("a_", "c_").alias("near_next"),
+        "next_doc_id",
     )
 
 
