@@ -41,19 +41,21 @@ from (
     from lineitem group by 1, 2) d) e
 """
 
+# every bar with a known outcome is labelled, half of them a day later where no bar follows at once;
 # the factor keeps a tie of two closes from depending on the last bit
 BAR_LABELS = """
 select concat(ts_code, '_', cast(d as string)) as sample_id, ts_code, d as asof_date,
        case when c5 > close * 1.000001 then 1 else 0 end as label, 'derived' as label_source, 1.0e0 as confidence,
        c5 / close - 1 as future_return
 from (
-  select *, case when rn % 80 = 0 then cast(trade_date + interval 1 day as date) else trade_date end as d
+  select *, case when rn % 2 = 0 and next_date > tomorrow then tomorrow else trade_date end as d
   from (
-    select ts_code, trade_date, close,
+    select ts_code, trade_date, close, cast(trade_date + interval 1 day as date) as tomorrow,
            row_number() over (partition by ts_code order by trade_date) as rn,
+           lead(trade_date) over (partition by ts_code order by trade_date) as next_date,
            lead(close, 5) over (partition by ts_code order by trade_date) as c5
     from index_bars) i) x
-where rn % 40 = 0 and c5 is not null
+where c5 is not null
 """
 
 # faults by a rule on a key that any engine computes alike, without a global row number;

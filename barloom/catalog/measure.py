@@ -51,11 +51,16 @@ def confusion(spark, sf):
     return rounded(m.confusion_metrics(both_models(spark, sf), group=["model"]))
 
 
+# equal scores share the mean of their places
 PAIRS = """
 select model, {auc} from (
-  select p.model, sum(case when p.y_score > q.y_score then 1.0e0 when p.y_score = q.y_score then 0.5e0 else 0 end) as won, count(*) as pairs
-  from (select * from long_preds where y_true = 1) p join (select * from long_preds where y_true = 0) q on p.model = q.model
-  group by p.model) x
+  select model, sum(case when y_true = 1 then place end) - sum(y_true) * (sum(y_true) + 1) / 2.0e0 as won,
+         sum(y_true) * sum(1 - y_true)::double as pairs
+  from (
+    select model, y_true, rank() over (partition by model order by y_score)
+             + (count(*) over (partition by model, y_score) - 1) / 2.0e0 as place
+    from long_preds) p
+  group by model) x
 """
 
 
