@@ -10,6 +10,7 @@ from barloom.catalog.registry import query
 from barloom.catalog.shape import counted
 from barloom.operators import quality as q
 from barloom.operators.normalize import CONTRACT_UNITS, normalize_bars
+from barloom.plans.jobs import scan_skips
 
 BAD_VALUE = "label is not null and label not in (0, 1)"
 
@@ -138,6 +139,57 @@ def label_alignment(spark, sf):
     return counted(found, "history_len").select("sample_id", "ts_code", "asof_date", "label", "issue", "history_len")
 
 
+# labels of every 17th symbol have lost it
+UNNAMED = "select sample_id, case when cast(substr(ts_code, 2) as bigint) % 17 = 3 then null else ts_code end as ts_code, asof_date, label from bar_labels"
+
+
+@query(
+    "label_alignment_unnamed",
+    sql("select * from aligned", unnamed=UNNAMED, aligned=ALIGNED.replace("bad_labels", "unnamed")),
+)
+def label_alignment_unnamed(spark, sf):
+    labels = derived(spark, sf, "bar_labels").withColumn(
+        "ts_code", F.when(F.substring("ts_code", 2, 99).cast("bigint") % 17 != 3, F.col("ts_code"))
+    )
+    found = q.label_alignment(labels, derived(spark, sf, "price_bars"), 300)
+    return counted(found, "history_len").select("sample_id", "ts_code", "asof_date", "label", "issue", "history_len")
+
+
+# every third symbol comes from a file without the optional amount
+HALF_BARE = """select * exclude (amount), case when cast(substr(ts_code, 2) as bigint) % 3 <> 1 then amount end as amount from bad_bars"""
+
+
+@query(
+    "bar_quality_without_amount",
+    sql(
+        """select ts_code, n_bars, case when cast(substr(ts_code, 2) as bigint) % 3 = 1 then 0 else invalid_amount end as invalid_amount,
+        duplicate_dates, invalid_vol from quality""",
+        half_bare=HALF_BARE,
+        quality=QUALITY.replace("from bad_bars", "from half_bare"),
+    ),
+)
+def bar_quality_without_amount(spark, sf):
+    bars = derived(spark, sf, "bad_bars").withColumn(
+        "amount", F.when(F.substring("ts_code", 2, 99).cast("bigint") % 3 != 1, F.col("amount"))
+    )
+    return q.bar_quality(bars).select("ts_code", "n_bars", "invalid_amount", "duplicate_dates", "invalid_vol")
+
+
+@query(
+    "scan_skips",
+    sql(
+        """select ts_code, num_dates, reason from (
+          select ts_code, count(trade_date) as num_dates,
+                 case when count(trade_date) = 0 then 'no_valid_date' when max(case when trade_date is not null then n end) > 1 then 'duplicate_dates'
+                      when count(trade_date) < 500 then 'insufficient_history' end as reason
+          from (select ts_code, trade_date, count(*) as n from bad_bars group by ts_code, trade_date) d group by ts_code) s
+        where reason is not null"""
+    ),
+)
+def skipped_by_a_scan(spark, sf):
+    return scan_skips(derived(spark, sf, "bad_bars"), 120, 500)
+
+
 @query(
     "alignment_counts",
     sql(

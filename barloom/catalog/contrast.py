@@ -302,3 +302,21 @@ BUCKET_TESTS = {
 def buckets(spark, sf):
     future = derived(spark, sf, "bar_labels").select("sample_id", "future_return")
     return rounded(c.future_return_buckets(paired(spark, sf), future, TOP))
+
+
+@query(
+    "future_return_buckets_by_pair",
+    sql(
+        " union all ".join(
+            f"""select '{n}' as bucket, count(*) as count, {r('avg(future_return)', 'mean')}, {r('median(future_return)', 'median')},
+            {r('stddev_pop(future_return)', 'std')} from top_flags where {t}"""
+            for n, t in BUCKET_TESTS.items()
+        )
+    ),
+)
+def buckets_by_pair(spark, sf):
+    """The sets share symbol and date only, while the returns carry a sample id too."""
+    both = predictions(spark, sf)
+    a, b = (both.select("ts_code", "asof_date", "y_true", F.col(f"score_{m}").alias("y_score")) for m in ("a", "b"))
+    future = derived(spark, sf, "bar_labels").select("sample_id", "ts_code", "asof_date", "future_return")
+    return rounded(c.future_return_buckets(c.align_predictions(a, b), future, TOP))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from barloom.catalog.inputs import RULES, derived
@@ -67,6 +69,36 @@ def candidates(spark, sf):
     return rounded(s.impulse_candidates(derived(spark, sf, "index_bars"), RULES))
 
 
+# the platform reaches further back than the base, and a base shorter than the averages
+LONG = replace(RULES, breakout_lookback=150)
+SHORT = replace(RULES, base_lookback=10)
+SHORT_TAIL = TAIL.replace(over(-100, -1), over(-10, -1)).replace(over(-20, -1), over(-10, -1))
+
+
+@query(
+    "impulse_candidates_long_breakout",
+    sql(
+        f"select ts_code, trade_date as impulse_date, {IMPULSE_SQL} from impulses",
+        tail=TAIL.replace(over(-90, -1), over(-150, -1)),
+        impulses=IMPULSES,
+    ),
+)
+def candidates_of_long_platform(spark, sf):
+    return rounded(s.impulse_candidates(derived(spark, sf, "index_bars"), LONG))
+
+
+@query(
+    "impulse_candidates_short_base",
+    sql(
+        f"select ts_code, trade_date as impulse_date, {IMPULSE_SQL} from impulses",
+        tail=SHORT_TAIL,
+        impulses=IMPULSES.replace("rn > 100", "rn > 10"),
+    ),
+)
+def candidates_of_short_base(spark, sf):
+    return rounded(s.impulse_candidates(derived(spark, sf, "index_bars"), SHORT))
+
+
 LAST = "select * from (select *, row_number() over (partition by ts_code order by age) as nth from impulses) i where nth = 1"
 
 

@@ -232,7 +232,7 @@ def label_alignment(labels: DataFrame, bars: DataFrame, min_history: int) -> Dat
         .when((F.col(ASOF) < F.col("first_trade")) | (F.col(ASOF) > F.col("last_trade")), "asof_not_covered")
         .when(F.col("history_len") < min_history, "insufficient_history")
     )
-    return found.withColumn("issue", issue)
+    return found.withColumns({"issue": issue, "history_len": F.coalesce("history_len", F.lit(0).cast("bigint"))})
 
 
 def alignment_counts(aligned: DataFrame) -> DataFrame:
