@@ -166,7 +166,7 @@ def _scored(model: Model):
 
 
 def lm_scores(
-    docs: DataFrame, held_out: Column, bigram_weight: float = 0.25, block_bytes: int = 16 << 20, most_block_bytes: int = 256 << 20
+    docs: DataFrame, held_out: Column, bigram_weight: float = 0.25, block_bytes: int = 8 << 20, most_block_bytes: int = 256 << 20
 ) -> DataFrame:
     """log10 probability of every whole text of a stored table (doc_id, text) under an n-gram automaton.
 
