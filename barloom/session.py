@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# bars with nanosecond timestamps are refused without it; a cluster that reads such files sets it too
+NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
+
+_written: list[str] = []
+
+
 def local_session(app: str = "barloom", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and benchmarks; a cluster brings its own."""
     session = (
@@ -18,6 +24,7 @@ def local_session(app: str = "barloom", cores: str = "8", shuffle_partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config(NANOS_AS_LONG, "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -42,7 +49,21 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process wrote so far; returns how many there were.
+
+    Call it when the frames made so far are no longer read: they keep no other copy of what is deleted.
+    """
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from barloom.functions.columns import to_date, to_number
 from barloom.schema import ASOF, DATE, OPTIONAL_BAR_COLUMNS, ORDER, REQUIRED_BAR_COLUMNS, SYMBOL
 
-NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 BAR_COLUMNS = [*REQUIRED_BAR_COLUMNS, *OPTIONAL_BAR_COLUMNS]
 
 
@@ -22,8 +21,8 @@ def read_bars(spark: SparkSession, *paths: str) -> DataFrame:
     other types (say, text dates) go in a path of their own. The symbol is the `ts_code`
     column, or the file name where there is none. Optional columns may be missing from some
     files. Needed columns only are read, and filters on date and symbol column reach the scan.
+    Nanosecond timestamps need `session.NANOS_AS_LONG` set, as `local_session` does.
     """
-    spark.conf.set(NANOS_AS_LONG, "true")  # nanosecond timestamps are refused otherwise
     parts = [_read_bar_files(spark, p) for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

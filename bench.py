@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from barloom.catalog import all_queries
-from barloom.session import local_session
+from barloom.session import local_session, release_scratch
 
 HEADLINE = [
     "latest_features",
@@ -49,6 +49,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        release_scratch(spark)
     total = round(sum(seconds.values()), 3)
     print(
         json.dumps(
