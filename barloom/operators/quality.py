@@ -101,6 +101,7 @@ def bar_quality(bars: DataFrame) -> DataFrame:
         shown = F.concat(F.lit(f"{text}: "), F.col(column).cast("string")) if counted else F.lit(text)
         return F.when(F.col(column) > 0, shown)
 
+    # The messages, in the order in which they are given.
     texts = [
         message("descents", "daily trade_date is not ascending", False),
         message("duplicate_dates", "daily has duplicate trade_date rows"),

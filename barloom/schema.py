@@ -10,6 +10,7 @@ ASOF = "asof_date"
 SAMPLE = "sample_id"
 ORDER = "_ord"  # position of a bar in its source file
 
+# The columns of bars and labels.
 PRICES = ["open", "high", "low", "close"]
 REQUIRED_BAR_COLUMNS = [DATE, *PRICES, "vol"]
 OPTIONAL_BAR_COLUMNS = ["amount", "turnover_rate", "pct_chg"]
@@ -40,6 +41,7 @@ FEATURES = [
     "volatility_20",
 ]
 
+# What is known of a sample beside its features.
 SAMPLE_META = T.StructType(
     [
         T.StructField(SAMPLE, T.StringType()),
