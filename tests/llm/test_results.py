@@ -89,6 +89,14 @@ def test_near_duplicates_equal_all_pairs(family):
     assert found == {d: root(d) for d in texts} and len(set(found.values())) == 22
 
 
+def test_family_whose_members_are_near_the_original_only(spark, tmp_path):
+    # two variants differ from each other by up to 26 %, so only links with the original join them
+    original = prose(77, 200)
+    rows = [(0, original)] + [(k, changed(original, 0.13, 900 + k)) for k in range(1, 301)]
+    found = near_duplicates(stored(spark, tmp_path, rows, "doc_id long, text string"), sketches=96).collect()
+    assert len(found) == 301 and {r["class_id"] for r in found} == {0}
+
+
 def test_components_of_a_chain(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102)]
     found = {r["v"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
