@@ -97,6 +97,19 @@ def test_family_whose_members_are_near_the_original_only(spark, tmp_path):
     assert len(found) == 301 and {r["class_id"] for r in found} == {0}
 
 
+def test_near_duplicates_at_the_limit_of_edits(spark, tmp_path):
+    rows, draw = [], random.Random(8)
+    for pair, n in enumerate([200] * 60 + [15] * 60 + list(range(5, 15)) * 4):
+        words = [f"w{draw.randrange(10**9)}" for _ in range(n)]
+        other = list(words)
+        for at in [n // 2] if n < 10 else draw.sample(range(n), n // 5):
+            other[at] = f"x{draw.randrange(10**9)}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates(stored(spark, tmp_path, rows, "doc_id long, text string")).collect()}
+    joined = [found[2 * pair + 1] == 2 * pair for pair in range(160)]
+    assert sum(joined[:60]) >= 54 and sum(joined[60:120]) >= 54 and all(joined[120:])
+
+
 def test_components_of_a_chain(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102)]
     found = {r["v"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
