@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import mix64
 from barloom.session import materialize
 
-#: Coordinates per key; ratio of the item sizes of a class; most repetitions that a search may take.
+#: Coordinates per key; ratio of the item sizes of a class; most repetitions before a class takes fewer coordinates.
 COORDINATES, CLASS_RATIO, MOST_REPETITIONS = 4, 1.25, 96
 FAR = 1 << 29
 #: Flags for pairs of neighbouring words, by hash; two pairs on one flag only let more windows through.
@@ -53,9 +53,10 @@ class SizeClass:
     span: int  # words of the longest window
     known: int  # least benchmark words in a window
     paired: int  # least pairs of neighbours that an item has too
-    coordinates: np.ndarray  # repetitions x COORDINATES steps of the walk
+    coordinates: np.ndarray  # repetitions x up to COORDINATES steps of the walk
     keys: list[tuple[np.ndarray, np.ndarray]]  # per repetition, sorted keys and the items beside them
-    repetitions: int
+    repetitions: int  # 0: no keys, every window within the bounds is compared with each item
+    own: list[int]  # the items
 
 
 class Index:
@@ -123,20 +124,27 @@ class Index:
     def _build(self, own: list[int], low: int, rng: np.random.Generator, target: float) -> SizeClass:
         allowed = [self.allowed[k] for k in own]
         steps = max(1, 2 * low - 2)
-        coordinates = np.sort(rng.integers(0, steps, (MOST_REPETITIONS, COORDINATES)), axis=1)
         pad = 2 * max(len(self.items[k]) for k in own) + 4
-        stream, starts = _lay([self.items[k] for k in own], pad)
-        keys = [self._walk(stream, starts, c, r) for r, c in enumerate(coordinates)]
         # planted windows at the limit of allowed edits tell how many repetitions reach the target recall
         planted = [self._edited(self.items[k], self.allowed[k], rng) for k in own for _ in range(-(-200 // len(own)))]
         truth = np.repeat(np.arange(len(own)), -(-200 // len(own)))
-        stream, starts = _lay(planted, pad)
-        found, repetitions = np.zeros(len(planted), bool), MOST_REPETITIONS
-        for r, c in enumerate(coordinates):
-            found |= self._walk(stream, starts, c, r) == keys[r][truth]
-            if found.mean() >= target:
-                repetitions = r + 1
+        stream, starts = _lay([self.items[k] for k in own], pad)
+        windows, at = _lay(planted, pad)
+        # a window is followed by more text, not by what follows an item
+        after = rng.integers(1, len(self.vocabulary) + 1, len(windows), dtype=np.int32)
+        inside = np.concatenate([np.arange(s, s + len(x)) for s, x in zip(at, planted)])
+        after[inside] = windows[inside]
+        for taken in range(COORDINATES, -1, -1):
+            coordinates = np.sort(rng.integers(0, steps, (MOST_REPETITIONS, taken)), axis=1)
+            keys, found = [], np.zeros(len(planted), bool)
+            for r, c in enumerate(coordinates if taken else []):
+                keys.append(self._walk(stream, starts, c, r))
+                found |= self._walk(after, at, c, r) == keys[r][truth]
+                if found.mean() >= target:
+                    break
+            if found.mean() >= target or not taken:
                 break
+        repetitions = len(keys)
         tables = []
         for r in range(repetitions):
             order = np.argsort(keys[r], kind="stable")
@@ -149,6 +157,7 @@ class Index:
             coordinates=coordinates[:repetitions],
             keys=tables,
             repetitions=repetitions,
+            own=own,
         )
 
     def _edited(self, item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -178,6 +187,9 @@ class Index:
             starts = starts[(known[ends] - known[:-1] >= size.known) & (paired[ends] - paired[:-1] >= size.paired)]
             if not len(starts):
                 continue
+            if not size.repetitions:
+                found.update((int(s), i) for s in starts for i in size.own)
+                continue
             reach = np.r_[stream, np.zeros(int(size.coordinates.max()) + 2, stream.dtype)]
             for r, coordinates in enumerate(size.coordinates):
                 keys, items = size.keys[r]
@@ -277,7 +289,8 @@ def contamination(
     of the benchmark's words and word pairs to be within the allowed edits of an item (a bound that loses
     none), its CGK embedding is walked and sampled at a few
     coordinates per repetition; equal samples make a candidate. Repetitions are as many as planted edits at
-    the limit need for `target_recall`. Every candidate is verified by its exact edit distance in words.
+    the limit need for `target_recall`; where many do not reach it, keys take fewer coordinates, and at last
+    all windows within the bounds are candidates. Every candidate is verified by its exact edit distance in words.
 
     Items are taken in blocks of `block_items`, each broadcast in turn, so what a task holds is bounded.
     Returns doc_id, item_id, start (words before it, of the best window), item_words, edits and similarity.

@@ -181,6 +181,16 @@ def test_recall_at_the_limit_of_edits():
     assert hit >= 0.9 * len(items)
 
 
+def test_recall_of_long_items_at_the_limit_of_edits():
+    items = [(k, prose(1500 + k, n)) for k, n in enumerate([250] * 20 + [500] * 20)]
+    index, rng, hit = Index(items, 0.8, 0.95), np.random.default_rng(1), [0, 0]
+    for k, item in enumerate(index.items):
+        around = rng.integers(1, len(index.vocabulary) + 1, 60, dtype=np.int32)
+        stream = np.r_[around[:20], index._edited(item, index.allowed[k], rng), around[20:]]
+        hit[k >= 20] += any(i == k for _, i in index.candidates(stream))
+    assert min(hit) >= 17
+
+
 def test_packing_covers_every_id_once(spark, tmp_path):
     rows = [(k, prose(k, 5 + 37 * k % 400)) for k in range(120)] + [(500, prose(4, 3000)), (501, None)]
     texts = dict(rows)
