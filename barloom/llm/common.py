@@ -50,16 +50,17 @@ _BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2^64
 _CHUNK = 1 << 20
 
 
-def _byte_table(lower: bool) -> np.ndarray:
+def byte_classes(separators: bytes, lower: bool = False) -> np.ndarray:
+    """A table for `hash_words`: 0 for bytes between words, else the byte to hash. A space must be a separator."""
     table = np.arange(256, dtype=np.uint8)
     table[0] = 255  # no UTF-8 byte is 255
     if lower:
         table[ord("A") : ord("Z") + 1] += 32
-    table[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+    table[list(separators)] = 0
     return table
 
 
-_TABLES = {lower: _byte_table(lower) for lower in (False, True)}
+_TABLES = {lower: byte_classes(b" \t\n\x0b\x0c\r", lower) for lower in (False, True)}
 
 
 class _Powers:
@@ -79,12 +80,13 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def hash_words(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[str], lower: bool = False, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, and where each text begins among them (and the total).
 
-    Words lie between the six ASCII separators; `lower` folds A-Z. A word's hash is a polynomial of its bytes,
-    read off running sums over the whole batch, and mixed.
+    Words lie between the six ASCII separators, or those of a table of `classes`; `lower` folds A-Z. A word's
+    hash is a polynomial of its bytes, read off running sums over the whole batch, and mixed.
     """
+    classes = _TABLES[lower] if classes is None else classes
     found, counts = [], []
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     at = 0
@@ -93,7 +95,7 @@ def hash_words(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.nd
         while end < len(raw) and size + len(raw[end]) < _CHUNK:
             size += len(raw[end]) + 1
             end += 1
-        data = _TABLES[lower][np.frombuffer(b" ".join(raw[at:end]) + b" ", np.uint8)]
+        data = classes[np.frombuffer(b" ".join(raw[at:end]) + b" ", np.uint8)]
         _POWERS.reach(len(data) + 1)
         word = data != 0
         edge = np.flatnonzero(np.diff(np.r_[False, word].astype(np.int8)))
@@ -119,9 +121,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sample_limit(n: int, most: int) -> int:
+    """Below which signed 64-bit hash lie about `most` of `n` rows; whole numbers, so right at any size."""
+    return (most << 64) // max(n, most, 1) - (1 << 63)
+
+
 def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
-    """About `most` rows, never many more, chosen by a hash of `key`; all where there are no more than that."""
+    """About `most` rows, never many more, chosen by a 64-bit hash of `key`; all where there are no more than that."""
     n = rows.count()
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return rows.where(F.xxhash64(F.lit("sample"), *key) < F.lit(sample_limit(n, most)))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm.checks import license_sql
 from barloom.llm.common import table, workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +144,10 @@ def lm_scored(spark, sf_dir):
     from barloom.llm.language_model import lm_scores
 
     return lm_scores(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+
+
+@query("op13_license_scan", license_sql())
+def licensed(spark, sf_dir):
+    from barloom.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("blocks")
