@@ -151,3 +151,11 @@ def licensed(spark, sf_dir):
     from barloom.llm.license_scan import license_scan
 
     return license_scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+@query("op11_token_alignment")
+def tokens_aligned(spark, sf_dir):
+    from barloom.llm.token_alignment import alignment_digests
+
+    digests = alignment_digests(table(spark, sf_dir, "documents"))
+    return digests.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
