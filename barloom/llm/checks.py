@@ -45,3 +45,38 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
   coalesce(score, 0.0)::DOUBLE AS score
 FROM texts LEFT JOIN base USING (r) LEFT JOIN found USING (r)
 """
+
+
+def collocation_sql(most: int = 2000, least: int = 10, inside: int = 50) -> str:
+    """Every run of one to three words of every piece, counted."""
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k + 1} AS k, unnest([array_to_string(words[i:i+{k}], ' ') FOR i IN range(1, len(words) - {k} + 1)]) AS phrase FROM pieces"
+        for k in range(3)
+    )
+    return f"""
+WITH lines AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+pieces AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS words FROM lines),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+many AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE k > 1 AND f >= {least}),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(words[1:cut], ' ') AS first, array_to_string(words[cut+1:k], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM many)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r,
+    (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS f FROM (
+    SELECT lang, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase, a FROM many WHERE k = 3)
+  GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longer g USING (lang, phrase) WHERE g.f IS NULL OR 100 * g.f < {inside} * b.a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= {most}
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm.checks import license_sql
+from barloom.llm.checks import collocation_sql, license_sql
 from barloom.llm.common import table, workers_import
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +159,10 @@ def tokens_aligned(spark, sf_dir):
 
     digests = alignment_digests(table(spark, sf_dir, "documents"))
     return digests.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_phrase_index", collocation_sql())
+def phrases_mined(spark, sf_dir):
+    from barloom.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
