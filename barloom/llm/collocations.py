@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,9 +17,9 @@ from barloom.llm.common import mix64, shuffle_width
 from barloom.session import materialize
 
 #: Bytes of text that one index holds, but for a longer single text.
-SHARD = 12 << 20
+SHARD = 8 << 20
 #: Bytes of text to a bucket, in which the counts of all shards meet.
-BUCKET = 4 << 20
+BUCKET = 2 << 20
 
 _MARK = b","  # stands for every separator of pieces, so it is in no word
 
@@ -276,6 +277,10 @@ def collocations(docs: DataFrame, most: int = 2000, longest: int = 3, least: int
     )
     longer = many.where(size > 2).select("lang", pieces.alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = scored.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    # the best of each of so many parts first, so that no task gets the best of all tasks
+    part = F.pmod(F.xxhash64("phrase"), F.lit(math.isqrt(shuffle_width(docs.sparkSession)) + 1))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    within = Window.partitionBy("lang", "part").orderBy(*order)
+    best = kept.withColumn("part", part).withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= most)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most)
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
