@@ -26,12 +26,15 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50) -> Logistic:
-    """Penalised Newton steps; y may be posterior probabilities. No rows give a model that says 1/2."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50, weight: np.ndarray | None = None) -> Logistic:
+    """Penalised Newton steps; y may be posterior probabilities, rows may have a weight. No rows, or none with a
+    weight, give a model that says 1/2."""
     width = x.shape[1]
-    if not len(x):
+    weight = np.ones(len(x)) if weight is None else weight
+    if not weight.sum():
         return Logistic(np.zeros(width), np.ones(width), np.zeros(width + 1))
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight))
     scale[scale == 0] = 1.0
     design = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     ridge = np.full(width + 1, penalty)
@@ -39,8 +42,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int
     weights = np.zeros(width + 1)
     for _ in range(steps):
         p = sigmoid(design @ weights)
-        slope = design.T @ (p - y) + ridge * weights
-        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge)
+        slope = design.T @ (weight * (p - y)) + ridge * weights
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(ridge)
         move = np.linalg.solve(curve, slope)
         weights -= move * min(1.0, 5.0 / max(1e-12, np.abs(move).max()))
         if np.abs(move).max() < 1e-7:
