@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.session import materialize
+
 MASK64 = (1 << 64) - 1
 
 
@@ -109,6 +111,17 @@ def hash_words(texts: list[str], lower: bool = False, classes: np.ndarray | None
     return hashes, np.cumsum(np.r_[0, np.concatenate(counts)]) if counts else np.zeros(1, np.int64)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number of each row in a column of a free name, and that name.
+
+    The numbers are written, so they are the same however often and in whatever splits the rows are read.
+    """
+    name = "__row"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def crc_u32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
