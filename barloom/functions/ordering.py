@@ -1,4 +1,4 @@
-"""Exact ranks, order statistics and quantiles without a one-task window.
+"""Exact ranks without a one-task window.
 
 A global `row_number` or an exact percentile puts all rows into one task. Here the rows
 are range-partitioned on a unique key, so equal values may lie in several partitions, and
@@ -9,8 +9,6 @@ it. The sorted run is written once, so both uses of it see the same partitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,47 +73,3 @@ def average_ranks(df: DataFrame, value: str, key: str, name: str, group: Sequenc
         )
         .drop("pos", "_first", "_n")
     )
-
-
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probabilities: dict[str, float],
-    key: str,
-    group: Sequence[str] = (),
-    aggregates: dict[str, Column] | None = None,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, one column per name.
-
-    With a group, further `aggregates` of the value are taken from the same sorted run, so
-    that the input is evaluated once.
-    """
-    placed = positions(df.select(*group, value, key).where(F.col(value).isNotNull()), [value, key], group)
-    last = (F.col("group_rows") - 1).cast("double")
-    picks = []
-    for name, p in probabilities.items():
-        at = last * F.lit(float(p))
-        low = F.floor(at)
-        picks.append(
-            F.struct(F.lit(name).alias("q"), low.alias("low"), (at - low).alias("part"))
-        )
-    near = reduce(or_, [(F.col("pos") - p["low"]).between(0, 1) for p in picks])
-    wanted = (
-        placed.where(near)
-        .withColumn("_pick", F.explode(F.array(*picks)))
-        .where((F.col("pos") - F.col("_pick.low")).between(0, 1))
-    )
-    is_low = F.col("pos") == F.col("_pick.low")
-    picked = wanted.groupBy(*group, F.col("_pick.q").alias("_q")).agg(
-        F.max(F.when(is_low, F.col(value))).alias("_a"),
-        F.max(F.when(~is_low, F.col(value))).alias("_b"),
-        F.max("_pick.part").alias("_part"),
-    )
-    interpolated = F.col("_a") + F.coalesce((F.col("_b") - F.col("_a")) * F.col("_part"), F.lit(0.0))
-    found = picked.groupBy(*group).agg(
-        *[F.max(F.when(F.col("_q") == name, interpolated)).alias(name) for name in probabilities]
-    )
-    if not aggregates:
-        return found
-    others = placed.groupBy(*group).agg(*[a.alias(name) for name, a in aggregates.items()])
-    return others.join(found, list(group))

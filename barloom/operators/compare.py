@@ -278,7 +278,7 @@ def compare_predictions(
     scores = aligned.unpivot(KEY, ["score_a", "score_b"], "model", "y_score")
     sections = {
         "basic_info": alignment_info(a, b, aligned),
-        "score_distribution": score_summary(scores, key=KEY, group=["model"]),
+        "score_distribution": score_summary(scores, group=["model"]),
         "pearson": pearson(aligned),
         "spearman": spearman(aligned),
         "top_n_overlap": overlap_counts(aligned, top_n),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import count_if, ratio_or_zero, to_number
-from barloom.functions.ordering import positions, quantiles
+from barloom.functions.ordering import positions
+from barloom.functions.selection import quantiles
 from barloom.schema import SAMPLE
 
 # The quantiles of a score summary.
@@ -103,15 +104,13 @@ def binary_metrics(
     return rates.join(roc_auc(named, score, key, ["_all"]), "_all", "left").drop("_all")
 
 
-def score_summary(
-    predictions: DataFrame, score: str = "y_score", key: str = SAMPLE, group: Sequence[str] = ()
-) -> DataFrame:
+def score_summary(predictions: DataFrame, score: str = "y_score", group: Sequence[str] = ()) -> DataFrame:
     """Mean, population deviation, range and exact quantiles of a score."""
     groups = list(group) or ["_all"]
     named = predictions if group else predictions.withColumn("_all", F.lit(1))
-    rows = named.select(*groups, key, to_number(score).alias("_v")).where(F.col("_v").isNotNull())
+    rows = named.select(*groups, to_number(score).alias("_v"))
     moments = {"mean": F.avg("_v"), "std": F.stddev_pop("_v"), "min": F.min("_v"), "max": F.max("_v")}
-    out = quantiles(rows, "_v", SCORE_QUANTILES, key, groups, moments)
+    out = quantiles(rows, "_v", SCORE_QUANTILES, groups, moments)
     return out if group else out.drop("_all")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import count_if, merge_rows, to_number
-from barloom.functions.ordering import quantiles
+from barloom.functions.selection import quantiles
 from barloom.schema import ASOF, FEATURES, SAMPLE, SYMBOL
 
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}  # fixed values
@@ -104,18 +104,16 @@ def low_variance(features: DataFrame, n: int = 10, columns: Sequence[str] = FEAT
     return feature_spread(features, columns).orderBy(F.asc_nulls_last("variance"), "feature").limit(n)
 
 
-def numeric_summary(features: DataFrame, columns: Sequence[str] = FEATURES, key: str = SAMPLE) -> DataFrame:
+def numeric_summary(features: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     """Mean, sample deviation, range and quartiles per feature; what is undefined is 0."""
-    long = features.select(key, *[to_number(c).alias(c) for c in columns]).unpivot(
-        key, list(columns), "feature", "value"
-    )
+    long = features.select(*[to_number(c).alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
     moments = {
         "mean": F.avg("value"),
         "std": F.stddev_samp("value"),
         "min": F.min("value"),
         "max": F.max("value"),
     }
-    found = quantiles(long, "value", QUARTILES, key, ["feature"], moments)
+    found = quantiles(long, "value", QUARTILES, ["feature"], moments)
     # a feature without any value has no row among the quantiles
     names = features.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
     return names.join(found, "feature", "left").na.fill(0.0, [*moments, *QUARTILES])

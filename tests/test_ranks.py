@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from barloom.functions.ordering import average_ranks, positions, quantiles
+from barloom.functions.ordering import average_ranks, positions
+from barloom.functions.selection import quantiles
 from barloom.operators import compare as c
 from barloom.operators import metrics as m
 from barloom.operators import ranking as k
@@ -49,7 +50,7 @@ def test_average_ranks(spark):
 def test_quantiles(spark, n):
     frame = scored(n)
     probabilities = {"low": 0.0, "q1": 0.25, "mid": 0.5, "q99": 0.99, "top": 1.0}
-    row = quantiles(spark.createDataFrame(frame), "y_score", probabilities, "sample_id").first().asDict()
+    row = quantiles(spark.createDataFrame(frame), "y_score", probabilities).first().asDict()
     for name, p in probabilities.items():
         assert row[name] == pytest.approx(frame.y_score.quantile(p))
 
