@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from barloom.catalog.inputs import derived, labelled_windows
@@ -10,6 +12,7 @@ from barloom.catalog.measure import DATASET, _per_feature
 from barloom.catalog.oracle import r, sql
 from barloom.catalog.registry import query
 from barloom.catalog.shape import rounded
+from barloom.operators import boosting
 from barloom.operators import models as m
 from barloom.plans.jobs import scan, scan_features, scan_intersection, train_and_validate
 from barloom.schema import FEATURES
@@ -105,3 +108,86 @@ def scanned_by_two(spark, sf):
     train = samples(spark, sf).where(F.col("split") == "train")
     models = {"lgbm": m.train_model(train, "lightgbm"), "xgb": m.train_model(train, "xgboost")}
     return rounded(scan_intersection(models, derived(spark, sf, "index_bars"), 200))
+
+
+FIRST_TREES = {
+    "second_order_trees_by_level": replace(boosting.SETTINGS["xgboost"], trees=3, depth=3, bins=16),
+    "second_order_trees_by_leaf": replace(boosting.SETTINGS["lightgbm"], trees=3, depth=3, bins=16, leaves=None),
+}
+
+
+def trees_sql(settings: boosting.Settings) -> str:
+    """The first trees, unrolled: a histogram, the best split and the next nodes per level."""
+    s, lam = settings, settings.penalty
+    values = ", ".join(f"floor(coalesce({c}, 0) * 10000 + 0.37)::double" for c in FEATURES)
+    edges = " union all ".join(
+        f"select {k} as feature, list(distinct v) as cuts from (select x[{k + 1}] as v, row_number() over (order by x[{k + 1}]) as place, "
+        f"count(*) over () as n, max(x[{k + 1}]) over () as high from valued) z "
+        f"where v < high and place in (select (j * n) // {s.bins} + 1 from range(1, {s.bins}) j(j))"
+        for k in range(len(FEATURES))
+    )
+    weight = "(select count(*) from valued) / (2.0e0 * (select count(*) from valued o where o.label = v.label))" if s.balanced else "1.0e0"
+    steps = [
+        f"valued as (select sample_id, label::double as label, [{values}] as x from train where label in (0, 1))",
+        f"edges as ({edges})",
+        f"m0 as (select sample_id, label, {weight} as w, 0.0e0 as m, ["
+        + ", ".join(f"len([c for c in (select cuts from edges where feature = {k}) if c < x[{k + 1}]])" for k in range(len(FEATURES)))
+        + "] as b from valued v)",
+    ]
+    for t in range(s.trees):
+        drawn = f"substr(md5(sample_id || ':{s.seed}:{t}'), 1, 8) < '{int(s.row_share * 2**32):08x}'"
+        steps.append(
+            f"n{t}_0 as (select *, 1 as node, {drawn} as drawn, w * (p - label) as g, w * p * (1 - p) as h "
+            f"from (select *, 1 / (1 + exp(-m)) as p from m{t}))"
+        )
+        for level in range(s.depth):
+            cells = " union all ".join(
+                f"select node, {k} as feature, b[{k + 1}] as bin, sum(g) as g, sum(h) as h, count(*) as n from n{t}_{level} "
+                f"where drawn and node >= {1 << level} group by node, bin"
+                for k in boosting._picked(s.seed, t, len(FEATURES), s.column_share)
+            )
+            run = "over (partition by node, feature order by bin rows unbounded preceding)"
+            whole = "over (partition by node, feature)"
+            steps += [
+                f"c{t}_{level} as ({cells})",
+                f"u{t}_{level} as (select node, feature, bin, sum(g) {run} as gl, sum(h) {run} as hl, sum(n) {run} as nl, "
+                f"sum(g) {whole} as g, sum(h) {whole} as h, sum(n) {whole} as n from c{t}_{level})",
+                f"s{t}_{level} as (select node, feature, bin from (select *, row_number() over (partition by node order by gain desc, feature, bin) as place "
+                f"from (select *, round(gl * gl / (hl + {lam}) + (g - gl) * (g - gl) / (h - hl + {lam}) - g * g / (h + {lam}), 7) as gain from u{t}_{level} "
+                f"where n > nl and least(hl, h - hl) >= {s.min_curvature} and least(nl, n - nl) >= {s.min_rows}) where gain > 0) where place = 1)",
+                f"n{t}_{level + 1} as (select r.* exclude (node), case when s.node is null then r.node else 2 * r.node + (r.b[s.feature + 1] > s.bin)::int end as node "
+                f"from n{t}_{level} r left join s{t}_{level} s on r.node = s.node)",
+            ]
+        steps.append(
+            f"m{t + 1} as (select sample_id, label, w, m + {s.rate} * coalesce(value, 0) as m, b from n{t}_{s.depth} left join "
+            f"(select node, -sum(g) / (sum(h) + {lam}) as value from n{t}_{s.depth} where drawn group by node) using (node))"
+        )
+    named = {name: text for name, text in (step.split(" as (", 1) for step in steps)}
+    named = {name: text.removesuffix(")") for name, text in named.items()}
+    return sql(f"select sample_id, {r('1 / (1 + exp(-m))', 'score')} from m{s.trees}", splits=TIME_SPLIT_SQL, train=TRAIN, **named)
+
+
+def _first_trees(settings):
+    def run(spark, sf):
+        train = samples(spark, sf).where(F.col("split") == "train")
+        train = train.withColumns({c: F.floor(F.coalesce(F.col(c), F.lit(0.0)) * 10000 + 0.37).cast("double") for c in FEATURES})
+        return rounded(boosting.train_boosted(train, settings).score(train).select("sample_id", "score"))
+
+    return run
+
+
+for _name, _settings in FIRST_TREES.items():
+    query(_name, trees_sql(_settings))(_first_trees(_settings))
+
+
+def _whole_model(name):
+    def run(spark, sf):
+        rows = samples(spark, sf)
+        model = boosting.train_boosted(rows.where(F.col("split") == "train"), replace(boosting.SETTINGS[name], trees=20))
+        return rounded(model.score(rows.where(F.col("split") == "valid")).select("sample_id", F.col("label").alias("y_true"), "score"))
+
+    return run
+
+
+query("second_order_scores_by_level")(_whole_model("xgboost"))
+query("second_order_scores_by_leaf")(_whole_model("lightgbm"))
