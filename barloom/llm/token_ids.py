@@ -40,13 +40,14 @@ def encoder(name_or_path: str = VOCABULARY):
     with open(vocabulary_path(name_or_path), encoding="utf-8") as file:
         model = json.load(file)
     symbol = _bytes_of_symbols()
-    special = {t["content"] for t in model.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
     ranks = {bytes(symbol[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def document_ids(text: str | None, name_or_path: str = VOCABULARY, end_id: int = END_ID) -> np.ndarray:
-    """The ids of a whole text (null: empty), special strings as ordinary text, then the end id."""
-    ids = encoder(name_or_path).encode_ordinary(text or "")
+    """The ids of a whole text (null: empty), then the end id. A special token's string is that token, as in the
+    `tokenizers` library."""
+    ids = encoder(name_or_path).encode(text or "", allowed_special="all")
     ids.append(end_id)
     return np.array(ids, dtype="<u4")
