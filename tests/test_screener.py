@@ -151,16 +151,31 @@ def test_rules_over_missing_values_do_not_reject(spark):
     assert row.withColumn("close", F.lit(None).cast("double")).where(s.holds(s.rejections()["price"])).count() == 1
 
 
-def test_prefilter_matches_pandas(spark):
-    frame = universe()
-    got = {r.ts_code for r in s.prefilter(to_spark(spark, frame), RULES).collect()}
-    want = set()
-    for code, d in frame.groupby("ts_code"):
-        recent = d.assign(v5=d.vol.rolling(5).mean()).iloc[-20:]
-        signal = (recent.pct_chg >= 2.5).any() or (recent.turnover_rate >= 5).any() or (recent.vol > recent.v5 * 1.8).any()
-        if len(d) >= 25 and 1 <= recent.close.iloc[-1] <= 1000 and signal:
-            want.add(code)
-    assert got == want and want
+def quiet(code, bars=30, close=20.0, **marks):
+    """Rows of a symbol on which no signal fires; `marks` sets a column `back` bars before the last: column=(back, value)."""
+    rows = [{"ts_code": code, "trade_date": d.date(), "close": close, "vol": 100.0, "pct_chg": 0.1, "turnover_rate": 1.0} for d in pd.bdate_range("2024-01-01", periods=bars)]
+    for column, (back, value) in marks.items():
+        rows[bars - 1 - back][column] = value
+    return rows
+
+
+def test_prefilter_on_staged_symbols(spark):
+    rules = s.ScreenRules()
+    # after four bars of 100, a volume of 225 is 1.8 times the mean of the five
+    staged_rows = [
+        *quiet("move", pct_chg=(3, 7.0)), *quiet("turnover", turnover_rate=(19, 5.0)), *quiet("volume", vol=(0, 226.0)),
+        *quiet("none"), *quiet("weak", pct_chg=(3, 6.99), turnover_rate=(4, 4.99), vol=(0, 224.0)),
+        *quiet("past", pct_chg=(20, 9.0), turnover_rate=(20, 9.0), vol=(21, 900.0)),
+        *quiet("short", bars=24, pct_chg=(3, 9.0)), *quiet("just", bars=25, pct_chg=(3, 9.0)),
+        *quiet("low", close=4.99, pct_chg=(3, 9.0)), *quiet("floor", close=5.0, pct_chg=(3, 9.0)),
+        *quiet("high", close=120.01, pct_chg=(3, 9.0)), *quiet("ceiling", close=120.0, pct_chg=(3, 9.0)),
+        *quiet("unknown", pct_chg=(3, None), vol=(2, None)),
+    ]
+    rows = [tuple(r.values()) for r in staged_rows]
+    bars = spark.createDataFrame(rows, "ts_code string, trade_date date, close double, vol double, pct_chg double, turnover_rate double")
+    found = {r.ts_code: r.n_bars for r in s.prefilter(bars, rules).collect()}
+    assert found == {"move": 30, "turnover": 30, "volume": 30, "just": 25, "floor": 30, "ceiling": 30}
+    assert "turnover" not in {r.ts_code for r in s.prefilter(bars.drop("turnover_rate"), rules).collect()}
 
 
 def test_limit_by_code_range(spark):
