@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import count_if, holds, join_key, to_number
-from barloom.functions.ordering import average_ranks
+from barloom.functions.ordering import value_ranks
 from barloom.operators.metrics import binary_metrics, prediction_mode, score_column, score_summary
 from barloom.schema import ASOF, SAMPLE, SYMBOL
 from barloom.session import materialize
@@ -63,10 +63,20 @@ def pearson(aligned: DataFrame) -> DataFrame:
 
 
 def spearman(aligned: DataFrame) -> DataFrame:
-    """Correlation of the average ranks."""
-    slim = aligned.select(KEY, "score_a", "score_b")
-    ranked = average_ranks(average_ranks(slim, "score_a", KEY, "_rank_a"), "score_b", KEY, "_rank_b")
-    return ranked.agg(F.corr("_rank_a", "_rank_b").alias("spearman"))
+    """Correlation of the average ranks, from distinct pairs of scores and how often each occurs.
+
+    Ranks are taken from their mean, (rows + 1) / 2, so that no large squares cancel out.
+    """
+    pairs = materialize(aligned.groupBy("score_a", "score_b").agg(F.count("*").alias("_times")), "score-pairs")
+
+    def ranks(score: str, name: str) -> DataFrame:
+        counts = pairs.groupBy(score).agg(F.sum("_times").alias("_times"))
+        placed = value_ranks(counts, score, weight="_times")
+        return placed.select(score, (F.col("rank") - (F.col("group_rows") + 1) / 2.0).alias(name))
+
+    both = pairs.join(ranks("score_a", "_a"), "score_a").join(ranks("score_b", "_b"), "score_b")
+    sums = both.agg(*[F.sum(F.col("_times") * F.col(x) * F.col(y)).alias(x + y) for x, y in (("_a", "_a"), ("_b", "_b"), ("_a", "_b"))])
+    return sums.select(F.try_divide(F.col("_a_b"), F.sqrt(F.col("_a_a")) * F.sqrt(F.col("_b_b"))).alias("spearman"))
 
 
 def top_n_of(aligned: DataFrame, model: str, n: int) -> DataFrame:
@@ -170,7 +180,7 @@ def model_metrics(aligned: DataFrame, threshold: float = 0.5) -> DataFrame:
     out = None
     for m in ("a", "b"):
         rows = aligned.select(KEY, F.col("y_true_a").alias("y_true"), F.col(f"score_{m}").alias("y_score"))
-        row = binary_metrics(rows, threshold, key=KEY).withColumn("model", F.lit(m))
+        row = binary_metrics(rows, threshold).withColumn("model", F.lit(m))
         out = row if out is None else out.unionByName(row)
     return out
 

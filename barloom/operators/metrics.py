@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import count_if, ratio_or_zero, to_number
-from barloom.functions.ordering import positions
+from barloom.functions.ordering import value_ranks
 from barloom.functions.selection import quantiles
 from barloom.schema import SAMPLE
 
@@ -71,37 +71,28 @@ def confusion_metrics(
     )
 
 
-def roc_auc(
-    predictions: DataFrame, score: str = "y_score", key: str = SAMPLE, group: Sequence[str] = ()
-) -> DataFrame:
-    """Area under the ROC curve by rank sums; ties count half, NULL with one class.
-
-    Ranks come from a range-partitioned order, ties are then averaged per distinct score.
-    """
-    rows = predictions.select(
-        *group, key, to_number("y_true").alias("y_true"), to_number(score).alias("_score")
-    ).where(F.col("y_true").isNotNull() & F.col("_score").isNotNull())
-    placed = positions(rows, ["_score", key], group)
-    by_score = placed.groupBy(*group, "_score").agg(
-        F.min("pos").alias("_first"), F.count("*").alias("_n"), F.sum("y_true").alias("_pos")
+def roc_auc(predictions: DataFrame, score: str = "y_score", group: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve by rank sums over the distinct scores; ties count half, NULL with one class."""
+    rows = predictions.select(*group, to_number("y_true").alias("y_true"), to_number(score).alias("_score")).where(
+        F.col("y_true").isNotNull() & F.col("_score").isNotNull()
     )
-    rank = F.col("_first") + (F.col("_n") + 1) / 2.0
+    by_score = value_ranks(rows, "_score", group, _pos=F.sum("y_true"))
     sums = by_score.groupBy(*group).agg(
         F.sum("_pos").alias("_p"),
-        F.sum(F.col("_n") - F.col("_pos")).alias("_q"),
-        F.sum(F.col("_pos") * rank).alias("_ranks"),
+        F.sum(F.col("n") - F.col("_pos")).alias("_q"),
+        F.sum(F.col("_pos") * F.col("rank")).alias("_ranks"),
     )
     auc = F.try_divide(F.col("_ranks") - F.col("_p") * (F.col("_p") + 1) / 2.0, F.col("_p") * F.col("_q"))
     return sums.select(*group, auc.alias("auc"))
 
 
 def binary_metrics(
-    predictions: DataFrame, threshold: float = 0.5, score: str = "y_score", key: str = SAMPLE, use_given: bool = False
+    predictions: DataFrame, threshold: float = 0.5, score: str = "y_score", use_given: bool = False
 ) -> DataFrame:
     """One row with the rates and the AUC."""
     named = predictions.withColumn("_all", F.lit(1))
     rates = confusion_metrics(named, threshold, score, ["_all"], use_given)
-    return rates.join(roc_auc(named, score, key, ["_all"]), "_all", "left").drop("_all")
+    return rates.join(roc_auc(named, score, ["_all"]), "_all", "left").drop("_all")
 
 
 def score_summary(predictions: DataFrame, score: str = "y_score", group: Sequence[str] = ()) -> DataFrame:

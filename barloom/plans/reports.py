@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import metrics, profile, quality
 from barloom.operators.ranking import bottom_scores, top_scores
-from barloom.schema import FEATURES, RECOMMENDED_LABEL_COLUMNS, SAMPLE
+from barloom.schema import FEATURES, RECOMMENDED_LABEL_COLUMNS
 from barloom.sources.writers import write_report
 
 
@@ -48,7 +48,7 @@ def inspect_predictions(
     }
     if metrics.prediction_mode(predictions) == "validation":
         sections |= {
-            "validation_metrics": metrics.binary_metrics(predictions, threshold, name, SAMPLE, use_given=True),
+            "validation_metrics": metrics.binary_metrics(predictions, threshold, name, use_given=True),
             "label_score_mean": metrics.label_score_means(predictions, name),
             "false_positives": metrics.error_rows(predictions, "false_positive", top_n, threshold, name),
             "false_negatives": metrics.error_rows(predictions, "false_negative", top_n, threshold, name),

@@ -5,8 +5,9 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from barloom.functions.ordering import average_ranks, positions
+from barloom.functions.ordering import average_ranks, positions, value_ranks
 from barloom.functions.selection import quantiles
 from barloom.operators import compare as c
 from barloom.operators import metrics as m
@@ -41,11 +42,40 @@ def test_positions_with_null_group(spark):
 
 def test_average_ranks(spark):
     frame = scored()
-    got = average_ranks(spark.createDataFrame(frame), "y_score", "sample_id", "r").toPandas().set_index("sample_id").r
+    got = average_ranks(spark.createDataFrame(frame), "y_score", "r").toPandas().set_index("sample_id").r
     want = frame.set_index("sample_id").y_score.rank()
     assert (got.sort_index() == want.sort_index()).all()
 
 
+def test_value_ranks_by_group_with_nulls(spark):
+    rows = [(None, 0.5), (None, 0.5), (None, -1.0), ("g", None), ("g", 2.0), ("g", 2.0), ("g", 3.0), ("h", 7.0)]
+    found = value_ranks(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], total=F.sum("v"))
+    got = {(r.g, r.v): (r.n, r.before, r.rank, r.group_rows, r.total) for r in found.collect()}
+    assert got == {
+        (None, -1.0): (1, 0, 1.0, 3, -1.0),
+        (None, 0.5): (2, 1, 2.5, 3, 1.0),
+        ("g", None): (1, 0, 1.0, 4, None),
+        ("g", 2.0): (2, 1, 2.5, 4, 4.0),
+        ("g", 3.0): (1, 3, 4.0, 4, 3.0),
+        ("h", 7.0): (1, 0, 1.0, 1, 7.0),
+    }
+
+
+def test_value_ranks_over_many_partitions(spark):
+    """Values spread over all range partitions, one of them held by a third of the rows."""
+    values = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.rand(5)).alias("v"))
+    frame = values.toPandas()
+    got = {r.v: r["rank"] for r in value_ranks(spark.createDataFrame(frame), "v").collect()}
+    assert frame.v.map(got).equals(frame.v.rank())
+
+
+def test_rank_dictionary_orders_no_rows(spark):
+    """What follows the written counts has neither ids nor rows of the input."""
+    frame = spark.createDataFrame(scored()).repartition(3)
+    plan = m.roc_auc(frame)._jdf.queryExecution().toString()
+    assert "y_true" not in plan and "sample_id" not in plan
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 400])
 def test_quantiles(spark, n):
     frame = scored(n)
