@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.inputs import derived, labelled_windows
 from barloom.catalog.ingest import TIME_SPLIT_SQL
 from barloom.catalog.measure import DATASET, _per_feature
-from barloom.catalog.oracle import r, sql
+from barloom.catalog.oracle import r, r_all, sql
 from barloom.catalog.registry import query
 from barloom.catalog.shape import rounded
 from barloom.operators import boosting
@@ -61,43 +61,120 @@ def samples(spark, sf):
     return materialize(labelled_windows(spark, sf).drop("future_return"), "samples")
 
 
-@query("logistic_regression")
+NEWTON_STEPS = 9
+
+
+def logistic_sql(body: str, **extra: str) -> str:
+    """Newton steps from 0, unrolled: sums of gradient and curvature, then elimination by one term after another.
+
+    `terms` holds the optimum of the standardised features, intercept first, in one row.
+    """
+    d = len(FEATURES) + 1
+    place = {c: k + 2 for k, c in enumerate(FEATURES)}
+    scaled = ", ".join(
+        f"({c} - (select mean from stats where feature = '{c}')) / (select scale from stats where feature = '{c}')" for c in FEATURES
+    )
+    named = {"design": f"select label::double as label, [1.0e0, {scaled}] as x from train"}
+    margin = " + ".join(f"x[{k}] * w[{k}]" for k in range(1, d + 1))
+    named["w0"] = f"select [{', '.join(['0.0e0'] * d)}] as w"
+    for t in range(NEWTON_STEPS):
+        named[f"p{t}"] = f"select x, label, 1 / (1 + exp(-({margin}))) as p from design cross join w{t}"
+        gradient = [f"sum((p - label) * x[{i}])" for i in range(1, d + 1)]
+        cells = [f"sum(p * (1 - p) * x[{i}] * x[{j}]) as h{i}_{j}" for i in range(1, d + 1) for j in range(i, d + 1)]
+        named[f"q{t}"] = f"select {', '.join(f'{g} as g{i + 1}' for i, g in enumerate(gradient))}, {', '.join(cells)} from p{t}"
+        lines = []
+        for i in range(1, d + 1):
+            ridge = "" if i == 1 else " + 1.0e0"
+            own = [f"h{min(i, j)}_{max(i, j)}" + (ridge if i == j else "") for j in range(1, d + 1)]
+            lines.append(f"[{', '.join(own)}, g{i}" + ("" if i == 1 else f" + w[{i}]") + "]")
+        named[f"e{t}_0"] = f"select w, [{', '.join(lines)}] as a from q{t} cross join w{t}"
+        for k in range(1, d + 1):
+            line = f"[case when i = {k} then a[i][j] / a[{k}][{k}] else a[i][j] - a[i][{k}] * a[{k}][j] / a[{k}][{k}] end for j in range(1, {d + 2})]"
+            named[f"e{t}_{k}"] = f"select w, [{line} for i in range(1, {d + 1})] as a from e{t}_{k - 1}"
+        named[f"w{t + 1}"] = f"select [w[i] - a[i][{d + 1}] for i in range(1, {d + 1})] as w from e{t}_{d}"
+    named["terms"] = f"select w from w{NEWTON_STEPS}"
+    fitted = " + ".join(
+        f"(coalesce({c}, 0) - (select mean from stats where feature = '{c}')) / (select scale from stats where feature = '{c}') * w[{k}]"
+        for c, k in place.items()
+    )
+    chance = f"1 / (1 + exp(-(w[1] + {fitted})))"
+    return sql(body.format(chance=chance), splits=TIME_SPLIT_SQL, train=TRAIN, stats=SCALES, **named, **extra)
+
+
+SCALES = f"select feature, mean, case when scale > 0 then scale else 1 end as scale from ({STATS}) s"
+TERMS_SQL = " union all ".join(
+    f"select '{c}' as term, {r(f'w[{k + 1}]', 'weight')} from terms" for k, c in enumerate(["intercept", *FEATURES])
+)
+VALID = "select d.*, {chance} as y_score from (" + DATASET + ") d cross join terms where d.split = 'valid'"
+VALIDATED_SQL = f"select sample_id, label as y_true, {r('y_score', 'y_score')}, (y_score >= 0.5)::int as y_pred from ({VALID}) v"
+RATES_SQL = (
+    "select n, tp, fp, fn, tn, "
+    + r("(tp + tn) / n", "accuracy")
+    + ", "
+    + r("coalesce(tp / nullif(tp + fp, 0), 0)", "precision")
+    + ", "
+    + r("coalesce(tp / nullif(tp + fn, 0), 0)", "recall")
+    + ", "
+    + r("coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)", "f1")
+    + ", "
+    + r("auc", "auc")
+    + f""" from (select count(*) as n, count_if(label = 1 and y_score >= 0.5)::bigint as tp, count_if(label <> 1 and y_score >= 0.5)::bigint as fp,
+    count_if(label = 1 and y_score < 0.5)::bigint as fn, count_if(label <> 1 and y_score < 0.5)::bigint as tn,
+    (sum(case when label = 1 then place end) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0e0)
+      / nullif(count_if(label = 1) * count_if(label = 0), 0) as auc
+    from (select *, rank() over (order by y_score) + (count(*) over (partition by y_score) - 1) / 2.0e0 as place from ({VALID}) v) u) c"""
+)
+
+
+@query("logistic_regression", logistic_sql(TERMS_SQL))
 def logistic(spark, sf):
-    train = samples(spark, sf).where(F.col("split") == "train")
-    model = m.train_model(train, "logistic_regression").stages[-1]
-    rows = [("intercept", float(model.intercept)), *zip(FEATURES, (float(x) for x in model.coefficients))]
-    return rounded(spark.createDataFrame(rows, "term string, weight double"))
+    terms = m.logistic_terms(samples(spark, sf).where(F.col("split") == "train"))
+    return rounded(spark.createDataFrame(list(terms.items()), "term string, weight double"))
 
 
 def _validated(name, **params):
     return lambda spark, sf: rounded(train_and_validate(samples(spark, sf), name, **params).predictions)
 
 
-query("validate_logistic_regression")(_validated("logistic_regression"))
+query("validate_logistic_regression", logistic_sql(VALIDATED_SQL))(_validated("logistic_regression"))
 query("validate_boosted_trees_balanced")(_validated("lightgbm"))
 query("validate_boosted_trees")(_validated("xgboost"))
 
 
-@query("validation_metrics")
+@query("validation_metrics", logistic_sql(RATES_SQL))
 def validation_metrics(spark, sf):
     return rounded(train_and_validate(samples(spark, sf), "logistic_regression").metrics)
 
 
-@query("saved_model_scores")
+SCORED_SQL = "select sample_id, " + r("{chance}", "score") + " from (" + DATASET + ") d cross join terms"
+
+
+@query("saved_model_scores", logistic_sql(SCORED_SQL))
 def saved_model(spark, sf):
     rows, path = samples(spark, sf), scratch_path(spark, "model")
     m.save_model(m.train_model(rows.where(F.col("split") == "train")), path)
     return rounded(m.score(m.load_model(path), rows).select("sample_id", "score"))
 
 
-@query("predict_proba")
+PURE_SQL = f"select {r_all(FEATURES)}, {r('{chance}', 'score')} from ({DATASET}) d cross join terms"
+
+
+@query("predict_proba", logistic_sql(PURE_SQL))
 def pure_scores(spark, sf):
     rows = samples(spark, sf)
     model = m.train_model(rows.where(F.col("split") == "train"))
     return rounded(m.predict_proba(model, rows.select(*FEATURES)))
 
 
-@query("scan")
+SCAN_SQL = (
+    "select concat(ts_code, '_', cast(trade_date as string)) as sample_id, ts_code, trade_date as asof_date, "
+    + r("{chance}", "score")
+    + """ from index_features f cross join terms where rn >= 160
+    and trade_date = (select max(trade_date) from index_bars p where p.ts_code = f.ts_code)"""
+)
+
+
+@query("scan", logistic_sql(SCAN_SQL))
 def scanned(spark, sf):
     model = m.train_model(samples(spark, sf).where(F.col("split") == "train"))
     return rounded(scan(model, scan_features(derived(spark, sf, "index_bars"))))
