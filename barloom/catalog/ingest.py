@@ -17,7 +17,7 @@ from barloom.operators.screener import ScreenRules, bars_in_range, price_ok
 from barloom.operators.features import latest_bars
 from barloom.plans.jobs import experiment_row, scan_features
 from barloom.schema import FEATURES
-from barloom.session import scratch_path
+from barloom.session import materialize, scratch_path
 from barloom.sources import readers, writers
 
 NUMBERS = ["open", "high", "low", "close", "vol", "amount"]
@@ -31,6 +31,33 @@ def bars_write_and_read(spark, sf):
     return rounded(readers.read_bars(spark, path).select("ts_code", "trade_date", *NUMBERS))
 
 
+def _in_four_layouts(bars, path):
+    """Four folders below `path` by symbol: text, eight-digit, date and nanosecond dates; two lack the amount."""
+    day = F.col("trade_date")
+    nanos = F.unix_date(day).cast("bigint") * 86_400_000_000_000
+    layouts = [F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "yyyyMMdd").cast("int"), day, nanos]
+    for k, date in enumerate(layouts):
+        part = bars.where(F.substring("ts_code", -1, 1).cast("int") % 4 == k).withColumn("trade_date", date)
+        if k % 2:
+            part = part.drop("amount")
+        part.write.parquet(f"{path}/{k}")
+    return f"{path}/*"
+
+
+@query(
+    "bars_of_mixed_files",
+    sql(
+        f"select ts_code, trade_date, {r_all(NUMBERS[:-1])}, "
+        + r("case when cast(right(ts_code, 1) as int) % 4 % 2 = 0 then amount end", "amount")
+        + " from price_bars"
+    ),
+)
+def bars_of_mixed_files(spark, sf):
+    """One read of files whose columns and date types differ."""
+    files = _in_four_layouts(derived(spark, sf, "price_bars"), scratch_path(spark, "mixed-bars"))
+    return rounded(readers.read_bars(spark, files).select("ts_code", "trade_date", *NUMBERS))
+
+
 @query(
     "labels_csv",
     sql("select sample_id, ts_code, asof_date, cast(label as double) as label, label_source, confidence from bar_labels"),
@@ -166,6 +193,26 @@ def keep_last(spark, sf):
     return rounded(normalize_bars(derived(spark, sf, "bad_bars"), duplicate_policy="last"))
 
 
+@query(
+    "duplicates_over_files",
+    sql(
+        f"""select {_norm(100, 1000)} from (
+          select *, row_number() over (partition by ts_code, trade_date order by later desc) as place from (
+            select *, 0 as later from price_bars
+            union all select ts_code, trade_date, open, high, low, (close + low) / 2, vol, amount, 1 from price_bars
+            where day(trade_date) % 3 = 0) c) b where place = 1"""
+    ),
+)
+def duplicates_over_files(spark, sf):
+    """A later folder corrects every third day; the bar of the last file counts, whatever its values."""
+    path = scratch_path(spark, "corrected-bars")
+    bars = materialize(derived(spark, sf, "price_bars"), "price-bars")
+    bars.write.parquet(f"{path}/0")
+    corrected = bars.where(F.day("trade_date") % 3 == 0).withColumn("close", (F.col("close") + F.col("low")) / 2)
+    corrected.write.parquet(f"{path}/1")
+    return rounded(normalize_bars(readers.read_bars(spark, f"{path}/*"), duplicate_policy="last").select("ts_code", "trade_date", *NUMBERS))
+
+
 REPEATED = "select ts_code, trade_date from bad_bars where trade_date is not null group by 1, 2 having count(*) > 1"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import to_date, to_number
 from barloom.functions.frames import by_date, whole_symbol
-from barloom.schema import DATE, NORMALIZED_NUMBERS, ORDER, SYMBOL
+from barloom.schema import DATE, FILE, NORMALIZED_NUMBERS, ORDER, SYMBOL
 
 @dataclass(frozen=True)
 class BarUnits:
@@ -41,7 +41,7 @@ def coerce_bars(bars: DataFrame) -> DataFrame:
         SYMBOL,
         to_date(DATE, dtype).alias(DATE),
         *[to_number(c).alias(c) for c in NORMALIZED_NUMBERS if c in bars.columns],
-        *[c for c in [ORDER] if c in bars.columns],
+        *[c for c in (FILE, ORDER) if c in bars.columns],
     ).where(F.col(DATE).isNotNull())
 
 
@@ -68,13 +68,13 @@ def duplicate_dates(bars: DataFrame) -> DataFrame:
 def one_bar_per_date(bars: DataFrame, policy: str = "raise") -> DataFrame:
     """Apply the duplicate policy and make (symbol, date) unique.
 
-    `first` and `last` go by file order. `raise` removes every bar of a symbol that has a
+    `first` and `last` go by the order of the files, and in a file by that of its rows. `raise` removes every bar of a symbol that has a
     duplicate (see `duplicate_dates`), where a single-symbol job would stop.
 
     All policies aggregate on (symbol, date) before anything is grouped by symbol alone, so
     copies are combined before the shuffle and no symbol has more rows than the calendar days.
     """
-    values = [c for c in bars.columns if c not in (SYMBOL, DATE, ORDER)]
+    values = [c for c in bars.columns if c not in (SYMBOL, DATE, FILE, ORDER)]
     if policy == "raise":
         merged = bars.groupBy(SYMBOL, DATE).agg(
             *[F.first(c).alias(c) for c in values], F.count("*").alias("_copies")
@@ -86,7 +86,7 @@ def one_bar_per_date(bars: DataFrame, policy: str = "raise") -> DataFrame:
     if ORDER not in bars.columns:
         raise KeyError(f"duplicate policy {policy} needs the file order column {ORDER}")
     # one struct of a whole row, led by the file order, so that ties never mix two rows
-    row = F.struct(ORDER, *values)
+    row = F.struct(*[c for c in (FILE, ORDER) if c in bars.columns], *values)
     kept = (F.min if policy == "first" else F.max)(row).alias("_bar")
     return bars.groupBy(SYMBOL, DATE).agg(kept).select(SYMBOL, DATE, *[F.col(f"_bar.{c}").alias(c) for c in values])
 

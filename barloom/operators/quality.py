@@ -18,7 +18,7 @@ from barloom.functions.columns import (
     to_number,
 )
 from barloom.functions.frames import whole_symbol
-from barloom.schema import ASOF, DATE, ORDER, PRICES, REQUIRED_BAR_COLUMNS, REQUIRED_LABEL_COLUMNS, SAMPLE, SYMBOL
+from barloom.schema import ASOF, DATE, FILE, ORDER, PRICES, REQUIRED_BAR_COLUMNS, REQUIRED_LABEL_COLUMNS, SAMPLE, SYMBOL
 
 ORDER_CHUNK = 65_536  # rows of one file whose order is checked in one task
 
@@ -45,25 +45,26 @@ def _bar_rules(columns: list[str]) -> dict[str, Column]:
 
 
 def _descents(bars: DataFrame) -> DataFrame:
-    """How often a date goes back in file order, per symbol.
+    """How often a date goes back in the order of a file, per symbol; files follow in no order of time.
 
     The order is checked inside chunks of a file, and then between the ends of the chunks.
     """
+    whole = [SYMBOL, *[c for c in [FILE] if c in bars.columns]]
     dated = bars.where(F.col(DATE).isNotNull()).select(
-        SYMBOL, DATE, ORDER, F.floor(F.col(ORDER) / ORDER_CHUNK).alias("_chunk")
+        *whole, DATE, ORDER, F.floor(F.col(ORDER) / ORDER_CHUNK).alias("_chunk")
     )
-    inside = Window.partitionBy(SYMBOL, "_chunk").orderBy(ORDER)
+    inside = Window.partitionBy(*whole, "_chunk").orderBy(ORDER)
     back = F.col(DATE) < F.lag(DATE).over(inside)
     chunks = (
         dated.withColumn("_back", holds(back).cast("int"))
-        .groupBy(SYMBOL, "_chunk")
+        .groupBy(*whole, "_chunk")
         .agg(
             F.sum("_back").alias("_back"),
             F.min_by(DATE, ORDER).alias("_start"),
             F.max_by(DATE, ORDER).alias("_end"),
         )
     )
-    between = Window.partitionBy(SYMBOL).orderBy("_chunk")
+    between = Window.partitionBy(*whole).orderBy("_chunk")
     return (
         chunks.withColumn("_step", holds(F.col("_start") < F.lag("_end").over(between)).cast("int"))
         .groupBy(SYMBOL)

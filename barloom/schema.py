@@ -8,6 +8,7 @@ SYMBOL = "ts_code"
 DATE = "trade_date"
 ASOF = "asof_date"
 SAMPLE = "sample_id"
+FILE = "_file"  # source file of a bar; files come in the order of their paths
 ORDER = "_ord"  # position of a bar in its source file
 
 # The columns of bars and labels.

@@ -2,50 +2,88 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
+import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
+from pyarrow.fs import FileSystem
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import to_date, to_number
-from barloom.schema import ASOF, DATE, OPTIONAL_BAR_COLUMNS, ORDER, REQUIRED_BAR_COLUMNS, SYMBOL
+from barloom.schema import ASOF, DATE, FILE, OPTIONAL_BAR_COLUMNS, ORDER, REQUIRED_BAR_COLUMNS, SYMBOL
 
 BAR_COLUMNS = [*REQUIRED_BAR_COLUMNS, *OPTIONAL_BAR_COLUMNS]
+KNOWN = [SYMBOL, FILE, ORDER, *BAR_COLUMNS]
+UNLIKE = "CANNOT_MERGE_SCHEMAS"  # Spark's name for footers whose types disagree
 
 
 def read_bars(spark: SparkSession, *paths: str) -> DataFrame:
-    """Bars of the whole universe as one frame: symbol, date, doubles, and file order.
+    """Bars of the whole universe as one frame: symbol, date, doubles, source file and place in it.
 
-    A path is a folder or glob of parquet files that agree in their column types; files with
-    other types (say, text dates) go in a path of their own. The symbol is the `ts_code`
-    column, or the file name where there is none. Optional columns may be missing from some
-    files. Needed columns only are read, and filters on date and symbol column reach the scan.
+    A path is a folder, glob or file of parquet. Files may differ in their columns and types, such as text,
+    integer, date and nanosecond dates: each layout is one scan. The symbol is the `ts_code` column, or the file
+    name where there is none. Optional columns may be missing from some files. Needed columns only are read, and
+    filters on date and symbol column reach the scan. A table with an order column of its own keeps that.
     Nanosecond timestamps need `session.NANOS_AS_LONG` set, as `local_session` does.
     """
-    parts = [_read_bar_files(spark, p) for p in paths]
+    parts = [_read_bar_files(spark, schema, files) for schema, files in _layouts(spark, paths)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _read_bar_files(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.parquet(path).schema  # from one footer
+def _layouts(spark: SparkSession, paths: Sequence[str]) -> list[tuple[T.StructType, Sequence[str]]]:
+    """Schemas, each with the paths that have it.
+
+    Spark merges all footers in one job. Where their types disagree, the footers are read once more, by tasks,
+    and the files grouped by what they hold; the driver gets names of files, which any scan lists there.
+    """
+    try:
+        return [(spark.read.option("mergeSchema", True).parquet(*paths).schema, paths)]
+    except (PySparkException, Py4JJavaError) as e:
+        if UNLIKE not in str(e):
+            raise
+    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("file"), F.col("_metadata.file_path").alias("uri"))
+    found = files.mapInPandas(_footers, "file string, layout string").groupBy("layout").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [(spark.read.parquet(r["files"][0]).schema, r["files"]) for r in found.orderBy("layout").collect()]
+
+
+def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The names and types of each file's bar columns, as one text."""
+    for batch in batches:
+        layouts = []
+        for name in batch["uri"]:
+            store, path = FileSystem.from_uri(re.sub("^s3[an]:", "s3:", name))
+            fields = pq.read_schema(path, filesystem=store)
+            layouts.append(", ".join(sorted(f"{f.name} {f.type}" for f in fields if f.name in KNOWN)))
+        yield pd.DataFrame({"file": batch["file"], "layout": layouts})
+
+
+def _read_bar_files(spark: SparkSession, found: T.StructType, files: Sequence[str]) -> DataFrame:
     if DATE not in found.names:
         raise KeyError(f"bars are missing required column: {DATE}")
-    wanted = [f for f in found if f.name in (SYMBOL, ORDER, *BAR_COLUMNS)]
-    # a column that this footer lacks may exist in other files of the folder
-    wanted += [T.StructField(c, T.DoubleType()) for c in OPTIONAL_BAR_COLUMNS if c not in found.names]
-    raw = spark.read.schema(T.StructType(wanted)).parquet(path)
+    wanted = [f for f in found if f.name in KNOWN]
+    raw = spark.read.schema(T.StructType(wanted)).parquet(*files)
     symbol = (
         F.col(SYMBOL)
         if SYMBOL in found.names
         else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1)
     )
-    order = F.col(ORDER) if ORDER in found.names else F.col("_metadata.row_index")
-    numbers = [f.name for f in wanted if f.name in BAR_COLUMNS and f.name != DATE]
+    if ORDER in found.names:  # an order over the whole table, unless it names files too
+        order, file = F.col(ORDER), F.col(FILE) if FILE in found.names else F.lit("")
+    else:
+        order, file = F.col("_metadata.row_index"), F.col("_metadata.file_path")
+    given = [f.name for f in wanted]
+    numbers = [c for c in BAR_COLUMNS if c != DATE and (c in given or c in OPTIONAL_BAR_COLUMNS)]
     return raw.select(
         symbol.alias(SYMBOL),
         to_date(DATE, raw.schema[DATE].dataType).alias(DATE),
-        *[to_number(c).alias(c) for c in numbers],
+        *[(to_number(c) if c in given else F.lit(None).cast("double")).alias(c) for c in numbers],
+        file.alias(FILE),
         order.alias(ORDER),
     )
 

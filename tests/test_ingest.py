@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.dataset import prepare_labels
 from barloom.operators.normalize import BarUnits, CONTRACT_UNITS, duplicate_dates, normalize_bars
-from barloom.operators.quality import invalid_label_values, validate_labels
+from barloom.operators.quality import bar_quality, invalid_label_values, validate_labels
 from barloom.sources import readers, writers
 
 DAY = datetime.date
@@ -144,6 +144,50 @@ def test_read_groups_of_unlike_types(spark, tmp_path):
     assert sorted(str(r.trade_date) for r in bars.collect()) == [f"2025-01-0{d}" for d in (3, 4, 5, 6)]
 
 
+def test_read_a_folder_of_unlike_types(spark, tmp_path):
+    """Text, eight-digit, date and nanosecond dates beside one another; columns that some files lack."""
+    days = pd.date_range("2025-01-01", periods=3, freq="D")
+    symbol_file().assign(trade_date=days.strftime("%Y%m%d")).to_parquet(tmp_path / "A.parquet", index=False)
+    symbol_file().assign(trade_date=days.strftime("%Y%m%d").astype(int)).to_parquet(tmp_path / "B.parquet", index=False)
+    symbol_file(amount=7).assign(trade_date=days.date, vol=["1", "2", "x"]).to_parquet(tmp_path / "C.parquet", index=False)
+    symbol_file(turnover_rate=4.0).to_parquet(tmp_path / "D.parquet", index=False)
+    symbol_file(ts_code="E").to_parquet(tmp_path / "other name.parquet", index=False)
+    bars = readers.read_bars(spark, str(tmp_path))
+    rows = {(r.ts_code, str(r.trade_date)): (r.vol, r.amount, r.turnover_rate, r._ord) for r in bars.collect()}
+    for name, vols, amount, rate in (("A", (1, 2, 3), None, None), ("C", (1, 2, None), 7, None), ("D", (1, 2, 3), None, 4), ("E", (1, 2, 3), None, None)):
+        for k, vol in enumerate(vols):
+            assert rows[name, f"2025-01-0{k + 1}"] == (vol, amount, rate, k)
+    assert len(rows) == 15 and {s for s, _ in rows} == set("ABCDE")
+    assert len(readers._layouts(spark, [str(tmp_path)])) == 5
+
+
+def test_files_of_one_layout_are_one_scan(spark, tmp_path):
+    for k in range(4):
+        symbol_file().to_parquet(tmp_path / f"S{k}.parquet", index=False)
+    assert len(readers._layouts(spark, [str(tmp_path)])) == 1
+
+
+@pytest.mark.parametrize(("policy", "closes"), [("first", [10.0, 11.0, 21.0]), ("last", [10.0, 20.0, 21.0])])
+def test_duplicates_over_files_go_by_file_and_row(spark, tmp_path, policy, closes):
+    """The row of a shared day lies deeper in the first file than in the second, and its other values are larger."""
+    first = symbol_file(2, ts_code="A").assign(close=[10.0, 11.0], open=[9.0, 9.0])
+    second = symbol_file(3, ts_code="A").iloc[1:].assign(close=[20.0, 21.0], open=[1.0, 1.0])
+    first.to_parquet(tmp_path / "1.parquet", index=False)
+    second.to_parquet(tmp_path / "2.parquet", index=False)
+    bars = normalize_bars(readers.read_bars(spark, str(tmp_path)), duplicate_policy=policy)
+    assert [r.close for r in bars.orderBy("trade_date").collect()] == closes
+
+
+def test_order_is_that_of_each_file(spark, tmp_path):
+    """The later file holds the earlier days, which is no descent; one inside a file is."""
+    late = symbol_file(6, ts_code="A", amount=1.0)
+    late.iloc[3:].to_parquet(tmp_path / "1.parquet", index=False)
+    late.iloc[:3].to_parquet(tmp_path / "2.parquet", index=False)
+    late.assign(ts_code="B").iloc[[0, 2, 1]].to_parquet(tmp_path / "3.parquet", index=False)
+    found = {r.ts_code: (r.descents, r.ok) for r in bar_quality(readers.read_bars(spark, str(tmp_path))).collect()}
+    assert found == {"A": (0, True), "B": (1, False)}
+
+
 def test_missing_folder(spark, tmp_path):
     with pytest.raises(Exception):
         readers.read_bars(spark, str(tmp_path / "none"))
