@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from corpus import changed, prose, stored
 from hypothesis import given, settings
@@ -18,7 +19,7 @@ from barloom.llm import fingerprints as fp
 from barloom.llm.alignment import _in_band, banded_distance
 from barloom.llm.common import fold, hash_words
 from barloom.llm.decontamination import Index, contamination, item_words
-from barloom.llm.language_model import lm_scores
+from barloom.llm.language_model import _from_gaps, _gaps, _numbers, _planes, _totals, aside, lm_scores, prior_of_failure
 from barloom.llm.near_dup import components, near_duplicates
 from barloom.llm.neighbours import edited
 from barloom.llm.packing import minimum_bin_slack, pack
@@ -116,37 +117,70 @@ def test_components_of_a_chain(spark):
     assert found == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
-def test_language_model_equals_plain_counts(family):
+def plain_backoff(texts, held, order):
+    """Counts of all n-grams in training, and the probability of a word after a history, by recursion."""
+    count = collections.Counter()
+    for d, t in texts.items():
+        ws = ["<s>", *t.lower().split(), None]
+        for n in range(1, order + 1):
+            for k in range(1 if n == 1 else 0, len(ws) - n + 1):
+                count[tuple(ws[k : k + n])] += not held[d]
+    count = collections.Counter({g: c for g, c in count.items() if c})
+    ones = {g[0]: c for g, c in count.items() if len(g) == 1}
+    total, types = sum(ones.values()), len(ones)
+    once, twice = sum(c == 1 for c in ones.values()), sum(c == 2 for c in ones.values())
+    off = once / (once + 2 * twice) if once and twice else 0.5
+    prior = {}
+    for n in range(1, order):
+        by_size = collections.defaultdict(list)
+        for g, c in count.items():
+            if len(g) == n:
+                by_size[c.bit_length()].append(c)
+        novel = sum(c == 1 and len(g) == n + 1 for g, c in count.items())
+        prior[n] = prior_of_failure([(sum(cs), len(cs)) for cs in by_size.values()], novel)
+    followed = lambda h: ones[None] if h == ("<s>",) else count[h]
+
+    def p(h, w):
+        if not h:
+            return (ones[w] - off if w in ones else off * types) / total
+        if not followed(h):
+            return p(h[1:], w)
+        a = aside(followed(h), prior[len(h)])
+        return (count[*h, w] + a * p(h[1:], w)) / (followed(h) + a)
+
+    return count, ones, total, p
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model_equals_plain_backoff(family, order):
     docs, texts = family
-    weight = 0.25
-    tokens = {d: [*t.lower().split(), None] for d, t in texts.items()}
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in texts}
-    one, two, after = collections.Counter(), collections.Counter(), collections.Counter()
-    for d, ws in tokens.items():
-        if not held[d]:
-            one.update(ws)
-            for v, w in zip(["<s>", *ws], ws):
-                two[v, w] += 1
-                after[v] += 1
-    total, types = sum(one.values()), len(one)
-    once, twice = sum(c == 1 for c in one.values()), sum(c == 2 for c in one.values())
-    off = once / (once + 2 * twice) if once and twice else 0.5
-    root = lambda w: (one[w] - off if one[w] else off * types) / total
-    rows = lm_scores(docs, fold("doc_id", 10) == 0, weight, block_bytes=4000).collect()
+    count, ones, total, p = plain_backoff(texts, held, order)
+    rows = lm_scores(docs, fold("doc_id", 10) == 0, order, block_bytes=4000).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        ws = tokens[r["doc_id"]]
-        base = sum(math.log10((one[w] + 0.1) / (total + 0.1 * (types + 1))) for w in ws)
-        score = sum(
-            math.log10(weight * two[v, w] / after[v] + (1 - weight) * root(w) if after[v] else root(w)) for v, w in zip(["<s>", *ws], ws)
-        )
-        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), total)
-        assert r["n_known"] == sum(one[w] > 0 for w in ws)
+        ws = ["<s>", *texts[r["doc_id"]].lower().split(), None]
+        base = sum(math.log10((ones.get(w, 0) + 0.1) / (total + 0.1 * (len(ones) + 1))) for w in ws[1:])
+        score = sum(math.log10(p(tuple(ws[max(0, k - order + 1) : k]), ws[k])) for k in range(1, len(ws)))
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(ws) - 1, total)
+        assert r["n_known"] == sum(w in ones for w in ws[1:])
         assert r["base_score"] == pytest.approx(base, abs=1e-6) and r["score"] == pytest.approx(score, abs=1e-6)
     # the weights of a state sum to 1 over all known words and the unknown class
-    v = next(w for w in one if w and after[w])
-    mass = sum(weight * two[v, w] / after[v] + (1 - weight) * root(w) for w in one) + (1 - weight) * off * types / total
-    assert mass == pytest.approx(1)
+    histories = [("<s>",), *[g for g in count if len(g) == order - 1 and None not in g]][:: max(1, len(count) // 50)]
+    for h in histories:
+        h = h[len(h) - order + 1 :] if order > 1 else ()
+        assert sum(p(h, w) for w in [*ones, "never seen"]) == pytest.approx(1)
+
+
+def test_counts_and_hashes_keep_all_64_bits():
+    numbers = np.array([0, 1, 255, 1 << 32, (1 << 40) + 7, (1 << 63) + 1, (1 << 64) - 1], np.uint64)
+    assert (_numbers(_planes(numbers)) == numbers).all() and (_from_gaps(_gaps(numbers)) == numbers).all()
+    frame = pd.DataFrame(
+        {"block": [0, 1], "bucket": 0, "gram": 1, "hashes": [_gaps(numbers[:2])] * 2, "n": [_planes(np.array([1, 1 << 32], np.uint64))] * 2}
+    )
+    found = _totals(frame)
+    assert [_numbers(x).tolist() for x in found["n"][:2]] == [[2, 1 << 33]] * 2
+    assert found[found["block"] == -1][["digits", "tokens", "types", "once", "twice"]].values.tolist() == [[2, 2, 1, 0, 1], [34, 1 << 33, 1, 0, 0]]
 
 
 def test_decontamination_finds_planted_edits(spark, tmp_path):
