@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +56,13 @@ def read_block(texts: list[str], order: int = 3) -> Block:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """64-bit numbers by byte: first all lowest bytes, then the next; small numbers leave runs of zeros to compress."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers byte by byte, first all lowest bytes, then the next, so that small numbers compress well; their size first."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return planes.size.to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _numbers(planes: bytes) -> np.ndarray:
+def _numbers(packed: bytes) -> np.ndarray:
+    planes = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd")
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
@@ -80,18 +83,17 @@ def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _counted(buckets: int, order: int):
     """Per block and bucket, the block's distinct n-grams and how often its training texts hold them."""
 
-    def count(block: int, texts: list[str], held: list[bool]) -> pd.DataFrame:
+    def count(block: int, texts: list[str], held: list[bool]) -> Iterator[pd.DataFrame]:
         read = read_block(texts, order)
         trained = np.repeat(~np.array(held, bool), np.diff(read.edges))
-        rows = []
         for n, grams in read.grams.items():
             at = read.at[n][trained & (read.at[n] >= 0)]
             seen, ends = np.bincount(at, minlength=len(grams)), _buckets(grams, buckets)
-            rows += [
+            rows = [
                 (block, k, n, _gaps(grams[ends[k] : ends[k + 1]]), _planes(seen[ends[k] : ends[k + 1]]))
                 for k in np.flatnonzero(np.diff(ends)).tolist()
             ]
-        return pd.DataFrame(rows, columns=["block", "bucket", "gram", "hashes", "n"])
+            yield pd.DataFrame(rows, columns=["block", "bucket", "gram", "hashes", "n"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_block, texts, held = None, [], []
@@ -99,13 +101,13 @@ def _counted(buckets: int, order: int):
             # a block is a run of rows, which may go on in the next batch
             for block, rows in batch.groupby("block", sort=True):
                 if open_block is not None and block != open_block:
-                    yield count(open_block, texts, held)
+                    yield from count(open_block, texts, held)
                     texts, held = [], []
                 open_block = int(block)
                 texts += rows["text"].tolist()
                 held += rows["held_out"].tolist()
         if open_block is not None:
-            yield count(open_block, texts, held)
+            yield from count(open_block, texts, held)
 
     return run
 
