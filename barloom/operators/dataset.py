@@ -152,6 +152,17 @@ def build_dataset(
     **split: float | int,
 ) -> Dataset:
     built = build_samples(labels, bars, window_size, min_history, split_method, **split)
+    return dataset_parts(built, bars, window_size, save_sequence, sequence_columns)
+
+
+def dataset_parts(
+    built: DataFrame,
+    bars: DataFrame,
+    window_size: int = 120,
+    save_sequence: bool = True,
+    sequence_columns: Sequence[str] = SEQUENCE_COLUMNS,
+) -> Dataset:
+    """What a build hands out, from the rows of `build_samples`; each part reads them, so store them first to make them once."""
     samples = dataset_rows(built)
     sequences = (
         window_sequences(samples, keep_sound_symbols(bars), window_size, sequence_columns) if save_sequence else None

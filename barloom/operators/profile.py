@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import count_if, merge_rows, to_number
+from barloom.functions.columns import count_if, to_number
 from barloom.functions.selection import quantiles
 from barloom.schema import ASOF, FEATURES, SAMPLE, SYMBOL
 
@@ -120,24 +120,21 @@ def numeric_summary(features: DataFrame, columns: Sequence[str] = FEATURES) -> D
 
 
 def dataset_snapshot(samples: DataFrame) -> DataFrame:
-    """One row for the experiment log: sizes, positive shares, dates, symbols, label sources."""
+    """One row for the experiment log: sizes, positive shares, dates, symbols, label sources.
+
+    One aggregate; names of sources are listed after they are made distinct, so the list grows with their
+    kinds, not with the rows.
+    """
     split, label = F.col("split"), F.col("label")
     positive = (label == 1).cast("double")
-    parts = samples.agg(
+    sources = F.array_join(F.array_sort(F.expr("collect_list(distinct label_source)")), "|")
+    return samples.agg(
         F.count("*").alias("n_samples"),
         *[count_if(split == s).alias(f"n_{s}") for s in ("train", "valid", "test")],
         F.avg(positive).alias("positive_ratio_all"),
         *[F.avg(F.when(split == s, positive)).alias(f"positive_ratio_{s}") for s in ("train", "valid", "test")],
         F.min(ASOF).alias("date_min"),
         F.max(ASOF).alias("date_max"),
+        F.count_distinct(SYMBOL).alias("n_unique_ts_code"),
+        F.coalesce(F.nullif(sources, F.lit("")), F.lit("unknown")).alias("label_source"),
     )
-    symbols = samples.agg(F.countDistinct(SYMBOL).alias("n_unique_ts_code"))
-    # distinct names first: the list grows with the kinds of sources, not with the rows
-    sources = (
-        samples.where(F.col("label_source").isNotNull())
-        .select("label_source")
-        .distinct()
-        .agg(F.array_join(F.array_sort(F.collect_list("label_source")), "|").alias("label_source"))
-        .withColumn("label_source", F.coalesce(F.nullif("label_source", F.lit("")), F.lit("unknown")))
-    )
-    return merge_rows(parts, symbols, sources)

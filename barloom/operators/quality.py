@@ -156,10 +156,9 @@ def _is_bad_value(labels: DataFrame, allowed: tuple[int, ...]) -> Column:
     return ~_is_allowed(labels, allowed) & _given_label(labels).isNotNull()
 
 
-def _excess_copies(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Rows beyond the first of each key, where NULL is a key too."""
-    groups = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias(name))
+def _excess_copies(*keys: str) -> Column:
+    """Rows beyond the first of each key, where NULL is a key too; in one aggregate with other counts."""
+    return F.count("*") - F.count_distinct(F.struct(*keys))
 
 
 def validate_labels(
@@ -169,16 +168,14 @@ def validate_labels(
     required = [SAMPLE, *REQUIRED_LABEL_COLUMNS] if require_sample_id else REQUIRED_LABEL_COLUMNS
     require_columns(labels, required, "labels")
     dated = labels.withColumn(ASOF, to_date(ASOF, labels.schema[ASOF].dataType))
-    counts = dated.agg(
+    copies = _excess_copies(SAMPLE) if require_sample_id else F.lit(0).cast("bigint")
+    out = dated.agg(
         F.count("*").alias("num_labels"),
         count_if(F.col(ASOF).isNull()).alias("invalid_asof_date"),
         count_if(_given_label(labels).isNull()).alias("null_label"),
         count_if(_is_bad_value(labels, allowed)).alias("invalid_label"),
+        copies.alias("duplicate_sample_id"),
     )
-    if require_sample_id:
-        out = merge_rows(counts, _excess_copies(labels, [SAMPLE], "duplicate_sample_id"))
-    else:
-        out = counts.withColumn("duplicate_sample_id", F.lit(0).cast("bigint"))
     faults = ["invalid_asof_date", "duplicate_sample_id", "null_label", "invalid_label"]
     return out.withColumn("ok", reduce(lambda a, b: a & b, [F.col(c) == 0 for c in faults]))
 
@@ -249,18 +246,15 @@ def alignment_counts(aligned: DataFrame) -> DataFrame:
 def label_contract(labels: DataFrame) -> DataFrame:
     """One row of label statistics: NULLs, bad values, copies and ids that do not fit."""
     dated = fill_contract_id(labels)
-    counts = dated.agg(
+    return dated.agg(
         F.count("*").alias("num_rows"),
         count_if(F.col(SYMBOL).isNull()).alias("num_null_ts_code"),
         count_if(F.col(ASOF).isNull()).alias("num_null_asof_date"),
         count_if(_given_label(labels).isNull()).alias("num_null_label"),
         count_if(_is_bad_value(labels, (0, 1))).alias("num_invalid_label"),
         count_if(_misnamed()).alias("num_inconsistent_sample_id"),
-    )
-    return merge_rows(
-        counts,
-        _excess_copies(dated, [SAMPLE], "duplicate_sample_id_count"),
-        _excess_copies(dated, [SYMBOL, ASOF], "duplicate_ts_code_asof_date_count"),
+        _excess_copies(SAMPLE).alias("duplicate_sample_id_count"),
+        _excess_copies(SYMBOL, ASOF).alias("duplicate_ts_code_asof_date_count"),
     )
 
 

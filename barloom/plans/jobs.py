@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import merge_rows, rename_aliases, sample_id, to_date
-from barloom.operators.dataset import Dataset, build_dataset, check_skip_limit, prepare_labels
+from barloom.operators.dataset import Dataset, build_samples, check_skip_limit, dataset_parts, prepare_labels
 from barloom.operators.features import latest_features
 from barloom.operators.metrics import binary_metrics
 from barloom.operators.models import load_model, save_model, score, train_model
@@ -70,7 +70,9 @@ def run_build(
         raise_unless_ok(check_inputs(labels, bars, min_history), "data precheck")
     raise_unless_ok(validate_labels(labels, require_sample_id=False), "label check")
     bars = materialize(bars, "bars")  # precheck, samples and sequences read them
-    built: Dataset = build_dataset(labels, bars, window_size, min_history, split_method, save_sequence, **split)
+    # windows and as-of join run once: the report, the samples and the sequences read what they gave
+    rows = materialize(build_samples(labels, bars, window_size, min_history, split_method, **split), "built")
+    built: Dataset = dataset_parts(rows, bars, window_size, save_sequence)
     check_skip_limit(built.report, max_skip_ratio)
     paths = {"samples": f"{output}/samples"}
     write_dataset(built.samples, paths["samples"])

@@ -72,6 +72,22 @@ def test_build_from_files(spark, inputs):
     assert len(tensors) == 3 and {x.shape for x in tensors.values()} == {(90, 5)}
 
 
+def test_build_runs_its_windows_once(spark, inputs, monkeypatch):
+    """Report, samples and sequences read the stored rows: no plan but that of the stored table has the feature windows."""
+    stored, read = [], []
+    materialize, parts = jobs.materialize, jobs.dataset_parts
+    monkeypatch.setattr(jobs, "materialize", lambda df, name: stored.append((name, plan_of(df))) or materialize(df, name))
+    monkeypatch.setattr(jobs, "dataset_parts", lambda *args: read.append(parts(*args)) or read[0])
+    build(spark, inputs)
+    assert [name for name, plan in stored if "volatility_20" in plan] == ["built"]
+    assert all("Window" not in plan_of(df) for df in (read[0].report, read[0].samples, read[0].skipped))
+    assert "volatility_20" not in plan_of(read[0].sequences)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_precheck_stops_the_build(spark, inputs):
     with (inputs / "labels.csv").open("a") as f:
         f.write("GONE,2021-10-04,0,hand\n,2021-10-04,1,hand\n")
