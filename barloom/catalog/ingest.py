@@ -80,6 +80,27 @@ def predictions_csv(spark, sf):
     return found.select("sample_id", "ts_code", "asof_date", "y_true", "y_score")
 
 
+@query(
+    "future_returns_csv",
+    sql(
+        f"""select sample_id, ts_code, asof_date,
+        {r('case when cast(substr(ts_code, 2) as bigint) % 7 <> 2 then future_return end', 'future_return')} from bar_labels"""
+    ),
+)
+def future_returns_csv(spark, sf):
+    """Returns from a file with eight-digit dates, in which some are no numbers."""
+    path = scratch_path(spark, "returns")
+    known = F.substring("ts_code", 2, 99).cast("bigint") % 7 != 2
+    rows = derived(spark, sf, "bar_labels").select(
+        "sample_id",
+        "ts_code",
+        F.date_format("asof_date", "yyyyMMdd").alias("asof_date"),
+        F.when(known, F.col("future_return").cast("string")).otherwise("n/a").alias("future_return"),
+    )
+    rows.write.option("header", True).csv(path)
+    return rounded(readers.read_future_returns(spark, path))
+
+
 @query(
     "scan_csv_by_date",
     sql(

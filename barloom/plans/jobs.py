@@ -169,6 +169,12 @@ def scan_skips(bars: DataFrame, window_size: int = 120, min_history: int = 160,
     return counts.select(SYMBOL, "num_dates", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
+def skips_path(output: str) -> str:
+    """Where a scan that names no place reports the symbols it left out."""
+    folder, slash, name = output.rpartition("/")
+    return f"{folder}{slash}skips_{name.rpartition('.')[0] or name}.json"
+
+
 def scan(model: PipelineModel, features: DataFrame) -> DataFrame:
     return sort_by_score(score(model, features).select(SAMPLE, SYMBOL, ASOF, "score"))
 
@@ -184,10 +190,12 @@ def run_scan(
     duplicate_policy: str = "raise",
     skips: str | None = None,
 ) -> DataFrame:
-    """Score the latest window of every symbol and write it; symbols left out go to `skips` with the reason."""
+    """Score the latest window of every symbol and write it.
+
+    Symbols left out are written first, each with its reason, to `skips` or else beside the output.
+    """
     raw = read_bars(spark, bars_path)
-    if skips:
-        write_report(scan_skips(raw, window_size, min_history, duplicate_policy), skips)
+    write_report(scan_skips(raw, window_size, min_history, duplicate_policy), skips or skips_path(output))
     bars = normalize_bars(raw, units, duplicate_policy)
     features = scan_features(bars, window_size, min_history)
     scored = score(load_model(model_path), features).select(SAMPLE, SYMBOL, ASOF, "score")
@@ -213,10 +221,16 @@ def run_scan_intersection(
     top_n: int = 200,
     units: BarUnits = SOURCE_UNITS,
     duplicate_policy: str = "raise",
+    skips: str | None = None,
     **window: int,
 ) -> DataFrame:
-    """Scan with several saved models and write the candidates they share, dated by the newest window."""
-    bars = normalize_bars(read_bars(spark, bars_path), units, duplicate_policy)
+    """Scan with several saved models and write the candidates they share, dated by the newest window.
+
+    Symbols left out are reported as by `run_scan`.
+    """
+    raw = read_bars(spark, bars_path)
+    write_report(scan_skips(raw, duplicate_policy=duplicate_policy, **window), skips or skips_path(output))
+    bars = normalize_bars(raw, units, duplicate_policy)
     models = {name: load_model(path) for name, path in model_paths.items()}
     found = materialize(scan_intersection(models, bars, top_n, **window), "intersection")
     newest = latest_asof(found).first()["latest_asof_date"]

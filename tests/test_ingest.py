@@ -242,3 +242,13 @@ def test_experiment_rows_append(spark, tmp_path):
         writers.append_experiment(spark.createDataFrame([(name, 0.5)], "exp_id string, f1 double"), path)
     rows = spark.read.parquet(path)
     assert len(rows.columns) == 22 and sorted(r.exp_id for r in rows.collect()) == ["one", "two"]
+
+
+def test_future_returns_from_a_file(spark, tmp_path):
+    file = tmp_path / "returns.csv"
+    file.write_text("sample_id,asof_date,future_return\nA_1,20210104,0.25\nA_2,2021-01-05,\nA_3,never,inf?\n")
+    found = {r.sample_id: (str(r.asof_date), r.future_return) for r in readers.read_future_returns(spark, str(file)).collect()}
+    assert found == {"A_1": ("2021-01-04", 0.25), "A_2": ("2021-01-05", None), "A_3": ("None", None)}
+    file.write_text("sample_id,return\nA_1,0.5\n")
+    with pytest.raises(KeyError, match="future_return"):
+        readers.read_future_returns(spark, str(file))

@@ -234,6 +234,11 @@ def test_train_scan_and_log(spark, dataset, tmp_path):
     assert written == sorted(written, reverse=True)
     dated = [p.name for p in tmp_path.iterdir() if p.name.startswith("scan_")]
     assert dated == ["scan_2024-08-27.csv"]
+    assert readers.read_report(spark, str(tmp_path / "skips_scan.json")).isEmpty()  # written although none is left out
+    with pytest.raises(ValueError, match="no symbol"):
+        jobs.run_scan(spark, str(tmp_path / "bars"), str(tmp_path / "lr/model"), str(tmp_path / "none"), 120, 1000, CONTRACT_UNITS)
+    left_out = readers.read_report(spark, str(tmp_path / "skips_none.json")).collect()
+    assert len(left_out) == 12 and {r.reason for r in left_out} == {"insufficient_history"}
     again = readers.read_predictions(spark, str(tmp_path / dated[0]))
     assert again.count() == 12 and "asof_date" in again.columns
 
