@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import to_number
@@ -33,9 +33,9 @@ def window_sequences(
 ) -> DataFrame:
     """(sample_id, ts_code, rn, x_sequence) for samples with `rn`, the row number of their as-of bar.
 
-    Bars are packed once into tiles of W rows. A window lies in its own tile and the one
-    before it, so each sample fetches two arrays instead of W rows, and no group is larger
-    than W rows.
+    Bars are packed once into tiles of W rows, each with the tile before it, in which every window of its
+    rows lies. A sample meets one such pair and cuts its window out on the spot: windows, which overlap,
+    are never exchanged, and no group is larger than W rows.
     """
     used = [c for c in columns if c in bars.columns]
     if not used:
@@ -47,26 +47,16 @@ def window_sequences(
         numbered.groupBy(SYMBOL, F.floor(F.col("_rn") / window_size).alias("_tile"))
         .agg(F.array_sort(F.collect_list(F.struct("_rn", *used))).alias("_rows"))
     )
+    before = F.lag("_rows").over(Window.partitionBy(SYMBOL).orderBy("_tile"))
+    pairs = tiles.withColumn("_rows", F.concat(F.coalesce(before, F.array().cast(tiles.schema["_rows"].dataType)), "_rows"))
     last = F.col("rn") - 1
     wanted = samples.select(SAMPLE, SYMBOL, last.alias("_last")).distinct().withColumn(
-        "_tile",
-        F.explode(F.array(F.floor(F.col("_last") / window_size) - 1, F.floor(F.col("_last") / window_size))),
+        "_tile", F.floor(F.col("_last") / window_size)
     )
-    fetched = wanted.join(tiles, [SYMBOL, "_tile"]).select(
-        SAMPLE,
-        SYMBOL,
-        "_last",
-        "_tile",
-        F.filter("_rows", lambda r: r["_rn"].between(F.col("_last") - window_size + 1, F.col("_last"))).alias("_part"),
-    )
-    windows = fetched.groupBy(SAMPLE, SYMBOL, "_last").agg(
-        F.flatten(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("_tile", "_part"))), lambda t: t["_part"]
-            )
-        ).alias("_rows")
-    )
-    whole = windows.where(F.size("_rows") == window_size)
+    # rows are numbered without gaps, so a window starts at a known place of its pair
+    start = F.col("_last") - window_size + 1 - F.col("_rows")[0]["_rn"]
+    fetched = wanted.join(pairs, [SYMBOL, "_tile"]).where((start >= 0) & (start + window_size <= F.size("_rows")))
+    whole = fetched.select(SAMPLE, SYMBOL, "_last", F.slice("_rows", start.cast("int") + 1, window_size).alias("_rows"))
     series = whole.select(
         SAMPLE, SYMBOL, (F.col("_last") + 1).alias("rn"), *[_filled(F.col(f"_rows.{c}")).alias(c) for c in used]
     )
