@@ -24,6 +24,7 @@ from barloom.operators.indicators import basic_indicators, screener_indicators
 from barloom.operators.normalize import CONTRACT_UNITS, normalize_bars
 from barloom.operators.sequence import SEQUENCE_COLUMNS, window_sequences
 from barloom.schema import FEATURES
+from barloom.session import materialize
 
 
 @query(
@@ -269,12 +270,13 @@ def skip_example_rows(spark, sf):
 )
 def misaligned(spark, sf):
     """Labels without features: their history is too short."""
-    return misaligned_ids(derived(spark, sf, "bar_labels"), labelled_windows(spark, sf))
+    ids = materialize(labelled_windows(spark, sf).select("sample_id"), "window-ids")  # each side is read twice
+    return misaligned_ids(materialize(derived(spark, sf, "bar_labels").select("sample_id"), "label-ids"), ids)
 
 
 @query("aligned_features", sql(f"select sample_id, label, {r_all(FEATURES)} from windows where rn >= 120"))
 def aligned(spark, sf):
-    rows = labelled_windows(spark, sf)
+    rows = materialize(labelled_windows(spark, sf).select("sample_id", "label", *FEATURES), "windows")  # read four times
     return rounded(align_features(rows.select("sample_id", "label"), rows.select("sample_id", *FEATURES)))
 
 
