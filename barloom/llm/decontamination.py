@@ -91,10 +91,10 @@ class Index:
         return ((left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - 24)).astype(np.int64)
 
     def _bits(self, step: int, repetition: int) -> np.ndarray:
-        """The walk's coin for every word at a step: advance in the window or stay."""
+        """The walk's coin for every word at a step: advance in the window or stay. A byte each: every task keeps all of them."""
         start = (self.seed << 40) + (repetition << 20) + step
         words = np.arange(len(self.vocabulary) + 1, dtype=np.uint64)
-        return (mix64(words * np.uint64(0x9E3779B97F4A7C15) ^ mix64(np.array([start], np.uint64))[0]) >> np.uint64(63)).astype(np.int64)
+        return (mix64(words * np.uint64(0x9E3779B97F4A7C15) ^ mix64(np.array([start], np.uint64))[0]) >> np.uint64(63)).astype(np.int8)
 
     def _walk(self, stream: np.ndarray, starts: np.ndarray, coordinates: np.ndarray, repetition: int) -> np.ndarray:
         """Keys of the windows at `starts`: the embedding's values at the sampled coordinates.
