@@ -210,3 +210,15 @@ def test_sequences_fill_inside_the_window_only(spark):
         np.testing.assert_array_equal(matrix.astype(np.float32), want)
     with pytest.raises(ValueError):
         window_sequences(samples, to_spark(spark, frame), 10, ["absent"])
+
+
+def test_asof_join_of_sql_text_exchanges_the_windows_once(spark):
+    frame = to_spark(spark, random_bars(2, 40))
+    bars = spark.sql("select ts_code, trade_date, max(close) as close from (select * from {bars}) b group by 1, 2", bars=frame)
+    rows = spark.sql("select *, row_number() over (partition by ts_code order by trade_date) as rn from {bars} r", bars=bars)
+    labels = spark.sql("select concat(ts_code, rn) as sample_id, ts_code, trade_date as asof_date from {rows} l where rn > 5", rows=rows)
+    found = asof_join(labels, rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # bars and labels by day and by symbol, then both sides of the join; none between the windows and the timeline
+    assert "Exchange" not in plan.split("Union")[0].rsplit("Window", 1)[1]
+    assert all(r["sample_id"] == f"{r['ts_code']}{r['rn']}" for r in found.collect()) and found.count() == 70
