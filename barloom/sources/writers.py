@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.schema import ASOF, DATE, EXPERIMENT_SUMMARY, SAMPLE, SYMBOL
+from barloom.session import shuffles_deleted
 
 
 def write_bars(bars: DataFrame, path: str, files: int | None = None) -> None:
@@ -20,13 +21,15 @@ def write_bars(bars: DataFrame, path: str, files: int | None = None) -> None:
 
 
 def write_dataset(samples: DataFrame, path: str) -> None:
-    """The dataset by split. Check the skip limit before calling this."""
+    """The dataset by split. Check the skip limit before calling this; pass stored rows, as the exchange by split comes on top of theirs."""
     # rebalance gives few files per split and still cuts a large split into several
-    samples.hint("rebalance", "split").write.mode("overwrite").partitionBy("split").parquet(path)
+    with shuffles_deleted(samples.sparkSession):
+        samples.hint("rebalance", "split").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def write_sequences(sequences: DataFrame, path: str) -> None:
-    sequences.write.mode("overwrite").parquet(path)
+    with shuffles_deleted(sequences.sparkSession):
+        sequences.write.mode("overwrite").parquet(path)
 
 
 def write_predictions(predictions: DataFrame, path: str, score: str = "score") -> None:

@@ -252,3 +252,24 @@ def test_future_returns_from_a_file(spark, tmp_path):
     file.write_text("sample_id,return\nA_1,0.5\n")
     with pytest.raises(KeyError, match="future_return"):
         readers.read_future_returns(spark, str(file))
+
+
+def test_dataset_rows_are_stored_before_the_exchange_by_split(spark, tmp_path, monkeypatch):
+    from barloom.catalog import ingest
+    from barloom.schema import FEATURES
+
+    windows = spark.createDataFrame(
+        [(f"K_{k}", "K", DAY(2024, 1, 1 + k), DAY(2023, 1, 1), DAY(2024, 1, 1 + k), k % 2, "hand", 1.0, "train" if k < 6 else "test", 120 + k) for k in range(9)],
+        "sample_id string, ts_code string, asof_date date, window_start date, window_end date, label int, label_source string, confidence double, split string, rn int",
+    ).withColumns({c: F.col("rn") / 7 for c in FEATURES} | {"skip_reason": F.lit(None).cast("string")})
+    plans, write = [], writers.write_dataset
+
+    def written(samples, path):
+        plans.append(samples._jdf.queryExecution().executedPlan().toString())
+        write(samples, path)
+
+    monkeypatch.setattr(ingest, "labelled_windows", lambda spark, sf: windows.repartition(3, "ts_code"))
+    monkeypatch.setattr(ingest.writers, "write_dataset", written)
+    found = ingest.dataset_write_and_read(spark, str(tmp_path))
+    assert "Exchange" not in plans[0]
+    assert {(r["sample_id"], r["split"], r["label"]) for r in found.collect()} == {(f"K_{k}", "train" if k < 6 else "test", k % 2) for k in range(9)}
