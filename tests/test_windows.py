@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.catalog.inputs import labelled_windows
 from barloom.functions.rolling import Rolling
 from barloom.operators.asof import asof_join
 from barloom.operators.features import build_features, history_gate, latest_features
@@ -212,13 +213,11 @@ def test_sequences_fill_inside_the_window_only(spark):
         window_sequences(samples, to_spark(spark, frame), 10, ["absent"])
 
 
-def test_asof_join_of_sql_text_exchanges_the_windows_once(spark):
-    frame = to_spark(spark, random_bars(2, 40))
-    bars = spark.sql("select ts_code, trade_date, max(close) as close from (select * from {bars}) b group by 1, 2", bars=frame)
-    rows = spark.sql("select *, row_number() over (partition by ts_code order by trade_date) as rn from {bars} r", bars=bars)
-    labels = spark.sql("select concat(ts_code, rn) as sample_id, ts_code, trade_date as asof_date from {rows} l where rn > 5", rows=rows)
-    found = asof_join(labels, rows)
+def test_labelled_windows_of_sql_text_are_not_exchanged_for_the_timeline(spark, tmp_path):
+    rows = [(k, 1, k % 2, 0.01 * (k % 9), 0.02, 3.0, 50.0 + k, str(pd.Timestamp("2024-01-01") + pd.Timedelta(days=k // 2))) for k in range(300)]
+    names = "l_orderkey long, l_linenumber int, l_suppkey long, l_discount double, l_tax double, l_quantity double, l_extendedprice double, l_shipdate string"
+    spark.createDataFrame(rows, names).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = labelled_windows(spark, str(tmp_path))
     plan = found._jdf.queryExecution().executedPlan().toString()
-    # bars and labels by day and by symbol, then both sides of the join; none between the windows and the timeline
-    assert "Exchange" not in plan.split("Union")[0].rsplit("Window", 1)[1]
-    assert all(r["sample_id"] == f"{r['ts_code']}{r['rn']}" for r in found.collect()) and found.count() == 70
+    assert plan.count("Union") == 1 and "Exchange" not in plan.split("Union")[0].rsplit("Window [", 1)[1]
+    assert {(r["ts_code"], r["rn"]) for r in found.collect()} == {(f"S00000{s}", n) for s in range(2) for n in range(120, 146)}
