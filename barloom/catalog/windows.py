@@ -302,4 +302,4 @@ def sequences(spark, sf):
         F.col("step").cast("bigint").alias("step"),
         *[F.col("bar")[i].alias(c) for i, c in enumerate(SEQUENCE_COLUMNS)],
     )
-    return rounded(long, 3)
+    return rounded(long, 3, quick=True)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +25,15 @@ def _filled(values: Column) -> Column:
     def fill(x: Column, i: Column) -> Column:
         earlier = F.filter(F.slice(values, F.lit(1), i), lambda v: v.isNotNull())
         later = F.filter(F.slice(values, i + 1, F.size(values)), lambda v: v.isNotNull())
-        return F.coalesce(x, F.try_element_at(earlier, F.lit(-1)), F.try_element_at(later, F.lit(1)), F.lit(0.0))
+        return F.coalesce(x, F.try_element_at(earlier, F.lit(-1)), F.try_element_at(later, F.lit(1)), F.lit(0.0).cast("float"))
 
     return F.transform(values, fill)
 
 
+def _column(matrix: Column, k: int) -> Column:
+    return F.transform(matrix, lambda r: r[k])
+
+
 def window_sequences(
     samples: DataFrame, bars: DataFrame, window_size: int = 120, columns: Sequence[str] = SEQUENCE_COLUMNS
 ) -> DataFrame:
@@ -40,27 +46,31 @@ def window_sequences(
     used = [c for c in columns if c in bars.columns]
     if not used:
         raise ValueError("no sequence column found in the bars")
-    numbered = bars.select(SYMBOL, DATE, *[to_number(c).alias(c) for c in used]).withColumn(
+    # a bar is one row of the matrix from here on, with a mark where a value is missing
+    values = [to_number(c).cast("float") for c in used]
+    numbered = bars.select(SYMBOL, DATE, F.array(*values).alias("_x"), reduce(or_, [v.isNull() for v in values]).alias("_gap")).withColumn(
         "_rn", F.row_number().over(by_date()) - 1
     )
     tiles = (
         numbered.groupBy(SYMBOL, F.floor(F.col("_rn") / window_size).alias("_tile"))
-        .agg(F.array_sort(F.collect_list(F.struct("_rn", *used))).alias("_rows"))
+        .agg(F.array_sort(F.collect_list(F.struct("_rn", "_x"))).alias("_rows"), F.max("_gap").alias("_gap"))
+        .select(SYMBOL, "_tile", F.col("_rows._x").alias("_rows"), F.col("_rows")[0]["_rn"].alias("_first"), "_gap")
+    )
+    by_tile = Window.partitionBy(SYMBOL).orderBy("_tile")
+    before = F.coalesce(F.lag("_rows").over(by_tile), F.array().cast(tiles.schema["_rows"].dataType))
+    pairs = tiles.select(
+        SYMBOL, "_tile", F.concat(before, "_rows").alias("_rows"), (F.col("_first") - F.size(before)).alias("_first"),
+        (F.col("_gap") | F.coalesce(F.lag("_gap").over(by_tile), F.lit(False))).alias("_gap"),
     )
-    before = F.lag("_rows").over(Window.partitionBy(SYMBOL).orderBy("_tile"))
-    pairs = tiles.withColumn("_rows", F.concat(F.coalesce(before, F.array().cast(tiles.schema["_rows"].dataType)), "_rows"))
     last = F.col("rn") - 1
     wanted = samples.select(SAMPLE, SYMBOL, last.alias("_last")).distinct().withColumn(
         "_tile", F.floor(F.col("_last") / window_size)
     )
     # rows are numbered without gaps, so a window starts at a known place of its pair
-    start = F.col("_last") - window_size + 1 - F.col("_rows")[0]["_rn"]
+    start = F.col("_last") - window_size + 1 - F.col("_first")
     fetched = wanted.join(pairs, [SYMBOL, "_tile"]).where((start >= 0) & (start + window_size <= F.size("_rows")))
-    whole = fetched.select(SAMPLE, SYMBOL, "_last", F.slice("_rows", start.cast("int") + 1, window_size).alias("_rows"))
-    series = whole.select(
-        SAMPLE, SYMBOL, (F.col("_last") + 1).alias("rn"), *[_filled(F.col(f"_rows.{c}")).alias(c) for c in used]
-    )
-    matrix = F.transform(
-        F.arrays_zip(*used), lambda r: F.array(*[r[c].cast("float") for c in used])
-    )
-    return series.select(SAMPLE, SYMBOL, "rn", matrix.alias("x_sequence"))
+    whole = F.slice("_rows", start.cast("int") + 1, window_size)
+    # only pairs with a gap are filled; the other windows are cut as they are
+    series = [_filled(_column(whole, k)) for k in range(len(used))]
+    filled = F.transform(F.arrays_zip(*series), lambda r: F.array(*[r[str(k)] for k in range(len(used))]))
+    return fetched.select(SAMPLE, SYMBOL, (F.col("_last") + 1).alias("rn"), F.when(F.col("_gap"), filled).otherwise(whole).alias("x_sequence"))

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.catalog.inputs import labelled_windows
+from barloom.catalog.shape import quick_round
 from barloom.functions.rolling import Rolling
+from barloom.operators import sequence
 from barloom.operators.asof import asof_join
 from barloom.operators.features import build_features, history_gate, latest_features
 from barloom.operators.indicators import basic_indicators
@@ -221,3 +223,23 @@ def test_labelled_windows_of_sql_text_are_not_exchanged_for_the_timeline(spark,
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Union") == 1 and "Exchange" not in plan.split("Union")[0].rsplit("Window [", 1)[1]
     assert {(r["ts_code"], r["rn"]) for r in found.collect()} == {(f"S00000{s}", n) for s in range(2) for n in range(120, 146)}
+
+
+def test_sequences_without_gaps_are_cut_and_not_filled(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "_filled", lambda values: F.transform(values, lambda v: F.raise_error(F.lit("filled")).cast("float")))
+    frame = random_bars(2, 45)
+    samples = spark.createDataFrame([(f"{s}_{rn}", s, rn) for s in ("S0", "S1") for rn in (9, 10, 11, 20, 37, 45, 46)], "sample_id string, ts_code string, rn int")
+    got = {r.sample_id: np.array(r.x_sequence) for r in window_sequences(samples, to_spark(spark, frame), 10, ["close", "vol"]).collect()}
+    assert set(got) == {f"{s}_{rn}" for s in ("S0", "S1") for rn in (10, 11, 20, 37, 45)}
+    for key, matrix in got.items():
+        symbol, rn = key.split("_")
+        want = frame[frame.ts_code == symbol].iloc[int(rn) - 10 : int(rn)][["close", "vol"]].to_numpy(dtype=np.float32)
+        np.testing.assert_array_equal(matrix.astype(np.float32), want)
+
+
+def test_quick_rounding_equals_rounding(spark):
+    values = [k / 2000 for k in range(-3001, 3001)] + [0.0, -0.0, -0.0002, 1e300, 999999.9995, 123456.4565, float("inf"), float("-inf"), float("nan"), None]
+    frame = spark.createDataFrame([(v,) for v in values], "x double").unionByName(spark.range(20000).select(((F.rand(5) - 0.5) * F.pow(F.lit(10.0), F.col("id") % 12)).alias("x")))
+    for digits in (3, 6):
+        unlike = F.round("x", digits).cast("string") != quick_round(F.col("x"), digits).cast("string")
+        assert frame.where(unlike | (F.col("x").isNull() != quick_round(F.col("x"), digits).isNull())).count() == 0
